@@ -1,9 +1,19 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB SQL."""
 
-from larkspur.llm import simhash
+from larkspur.llm import exact, packing, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1,
+    "op4_exact_dedup": exact.op4,
     "op6_simhash": simhash.op6,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_exact_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+            FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+            row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+        FROM texts WINDOW w AS (PARTITION BY norm ORDER BY cp DESC, doc_id)""",
+}
