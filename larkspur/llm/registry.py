@@ -1,11 +1,15 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB SQL."""
 
-from larkspur.llm import exact, packing, simhash
+import corpus_pipeline
+from larkspur.llm import exact, langid, packing, pii, simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_packing": packing.op1,
     "op4_exact_dedup": exact.op4,
+    "op5_language_id": langid.op5,
     "op6_simhash": simhash.op6,
+    "op7_pii": pii.op7,
 }
 
 ORACLES = {
@@ -17,3 +21,5 @@ ORACLES = {
             row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
         FROM texts WINDOW w AS (PARTITION BY norm ORDER BY cp DESC, doc_id)""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import by_batch, drop_written, id_text, table, written
+from larkspur.llm.rows import SPARK_SEED, keep_rows
 
 WORDS, SEED, RADIUS, SEGMENTS, TILE = 3, 42, 2, 4, 4096
 _CHUNK = 1 << 15
@@ -47,13 +48,15 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, th (a hash of the text), fp (the 64 bits as a signed long)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.fromiter((fingerprint(t, words, seed) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        text = batch.column("text").to_pylist()
+        th = np.fromiter((xxhash.xxh64_intdigest(t, SPARK_SEED) for t in text), np.uint64, len(text))
+        fp = np.fromiter((fingerprint(t, words, seed) for t in text), np.uint64, len(text))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(th.view(np.int64)), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return by_batch(id_text(docs), run, "doc_id long, fp long")
+    return by_batch(id_text(docs), run, "doc_id long, th long, fp long")
 
 
 def _cell(segments: int):
@@ -144,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id that links reach, itself included)."""
+    """doc_id, th, fp, component_id (smallest doc_id that links reach, itself included)."""
     marked = written(fingerprints(docs, words, seed), "simhash")
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = written(links(firsts.select("fp"), radius, segments), "links")
@@ -154,7 +157,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
         roots = components(edges)
         rooted = written(firsts.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
         named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id; all columns as they are."""
+    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = written(first.groupBy("component_id", "doc_id").agg(F.min("th").alias("th")).select("doc_id", "th"), "simhash-kept")
+    return keep_rows(docs, kept)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
