@@ -1,15 +1,20 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB SQL."""
 
 import corpus_pipeline
-from larkspur.llm import exact, langid, packing, pii, simhash
+from larkspur.llm import exact, html, langid, linededup, media, packing, pieces, pii, quality, simhash
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_packing": packing.op1,
+    "op2_line_dedup": linededup.op2,
+    "op3_quality": quality.op3,
     "op4_exact_dedup": exact.op4,
     "op5_language_id": langid.op5,
     "op6_simhash": simhash.op6,
     "op7_pii": pii.op7,
+    "op8_html": html.op8,
+    "op9_sentencepiece": pieces.op9,
+    "op10_media": media.op10,
 }
 
 ORACLES = {
