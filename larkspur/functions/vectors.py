@@ -51,13 +51,13 @@ DISTANCES: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Characters that two texts share from the start."""
+    """Characters that two texts share from the start; null where either is."""
     most = F.least(F.length(a), F.length(b))
-    return F.when(most == 0, 0).otherwise(
+    return F.when(a.isNull() | b.isNull(), None).when(most == 0, 0).otherwise(
         F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), most), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))) - 1, most)
     )
 
 
 def prefix_ratio(a: Column, b: Column) -> Column:
     """Shared leading characters over the length of the first; 0 where it is empty."""
-    return F.when(F.length(a) > 0, common_prefix(a, b) / F.length(a)).otherwise(0.0)
+    return F.when(F.length(a) == 0, 0.0).otherwise(common_prefix(a, b) / F.length(a))
