@@ -28,7 +28,6 @@ from larkspur.llm.rows import SPARK_SEED, keep_rows
 
 CAPACITY, MOST_BITS, FIRST_BITS = 512, 18, 12
 _SPACE = ASCII_SPACE.encode()
-_LAST = (1 << 63) - 1
 
 
 def normalised(text: str) -> bytes:
@@ -96,13 +95,13 @@ def _chunk(batch: pa.RecordBatch, at: list[int]) -> pa.RecordBatch:
     at[0] += 1
     slots: dict[bytes, int] = {}
     rows = []
-    best: list[tuple[int, int, int]] = []
+    best: list[tuple[int, bool, int, int]] = []
     count: list[int] = []
     for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
         raw = text.encode("utf-8", "surrogatepass")
         norm = raw.translate(None, _SPACE)
         slot = slots.setdefault(norm, len(slots))
-        rank = (-len(text), _LAST if doc is None else doc, i)
+        rank = (-len(text), doc is None, doc or 0, i)
         if slot == len(best):
             best.append(rank)
             count.append(0)
@@ -118,7 +117,7 @@ def _chunk(batch: pa.RecordBatch, at: list[int]) -> pa.RecordBatch:
     pick = lambda f: pa.array([f(s) if x else None for s, x in zip(col[2], lead)], pa.int64())
     return pa.RecordBatch.from_arrays(
         [pa.array(col[0], pa.int64()), pa.array(col[1], pa.int64()), pa.array(col[2], pa.int32()), pa.array(col[3], pa.int32()), pa.array(col[4], pa.int64()), pa.array([sha[s] for s in col[2]]), signed(col[6]), signed(col[7])]
-        + [pick(lambda s: count[s]), pick(lambda s: -best[s][0]), pick(lambda s: best[s][1]), pick(lambda s: best[s][2]).cast(pa.int32()), pa.array(col[8], pa.binary())],
+        + [pick(lambda s: count[s]), pick(lambda s: -best[s][0]), pick(lambda s: None if best[s][1] else best[s][2]), pick(lambda s: best[s][3]).cast(pa.int32()), pa.array(col[8], pa.binary())],
         [x.split()[0] for x in _ROWS.split(", ")],
     )
 
@@ -133,7 +132,7 @@ def _own(batches):
     def close():
         for norm, n, best, members in chains:
             for chunk, slot in members:
-                yield chunk, slot, None if best[1] == _LAST else best[1], best[2], best[3], n
+                yield chunk, slot, None if best[1] else best[2], best[3], best[4], n
 
     def out(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], [x.split()[0] for x in _ENTRIES.split(", ")])
@@ -144,7 +143,7 @@ def _own(batches):
             if h != held:
                 rows += close()
                 held, chains = h, []
-            best = (-cp, doc, chunk, row)
+            best = (-cp, doc is None, doc or 0, chunk, row)
             for link in chains:
                 if link[0] == norm:
                     link[1] += n
@@ -177,7 +176,8 @@ def duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they are."""
-    kept = written(duplicates(docs).where("kept").select("doc_id", "th"), "exact-kept")
+    named = duplicates(docs).groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    kept = written(named.where("kept").drop("kept"), "exact-kept")
     return keep_rows(docs, kept)
 
 

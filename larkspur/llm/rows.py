@@ -10,14 +10,18 @@ SPARK_SEED = 42
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that kept (doc_id, th) names; of repeated rows one.
+    """The rows of docs, all columns as they are, that kept (doc_id, th, n) names; of repeated rows one.
 
-    th is xxhash64 of the text, null as empty. Null ids match null ids. kept must be cheap to read twice.
+    th is xxhash64 of the text, null as empty; n is the number of rows of docs with that name. Null ids match null ids.
+    kept must be cheap to read twice.
     """
-    own, key_id, key_th = docs.columns, "__larkspur_id", "__larkspur_th"
+    own, free = docs.columns, "_"
+    while any(c.lower().startswith(free) for c in own):
+        free += "_"
+    key_id, key_th, k_id, k_th = (free + x for x in ("id", "th", "kept_id", "kept_th"))
     keyed = docs.withColumn(key_id, F.col("doc_id").cast("long")).withColumn(key_th, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    names = kept.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
-    found = keyed.join(names, F.col(key_id).eqNullSafe(F.col("k_id")) & (F.col(key_th) == F.col("k_th")), "left_semi")
-    if not names.groupBy("k_id", "k_th").count().where("count > 1").isEmpty():
+    names = kept.select(F.col("doc_id").alias(k_id), F.col("th").alias(k_th))
+    found = keyed.join(names, F.col(key_id).eqNullSafe(F.col(k_id)) & (F.col(key_th) == F.col(k_th)), "left_semi")
+    if not kept.where("n > 1").isEmpty():
         found = found.dropDuplicates([key_id, key_th])
     return found.select(*[F.col(f"`{c}`") for c in own])

@@ -147,23 +147,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """doc_id, th, fp, component_id (smallest doc_id that links reach, itself included)."""
+    """doc_id, th, fp, root (smallest fingerprint of the component), component_id (smallest doc_id that links reach, itself included)."""
     marked = written(fingerprints(docs, words, seed), "simhash")
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = written(links(firsts.select("fp"), radius, segments), "links")
     if edges.isEmpty():
-        named = firsts.select("fp", F.col("first").alias("component_id"))
+        named = firsts.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     else:
         roots = components(edges)
         rooted = written(firsts.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
-        named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+        named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; all columns as they are."""
     first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(first.groupBy("component_id", "doc_id").agg(F.min("th").alias("th")).select("doc_id", "th"), "simhash-kept")
+    named = first.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    kept = written(named.groupBy("root", "doc_id").agg(F.min(F.struct("th", "n")).alias("k")).select("doc_id", "k.th", "k.n"), "simhash-kept")
     return keep_rows(docs, kept)
 
 
