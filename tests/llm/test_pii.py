@@ -1,0 +1,82 @@
+import re
+
+import numpy as np
+import pytest
+
+from larkspur.llm import boosting, pii
+
+
+@pytest.fixture(scope="module")
+def own():
+    return pii.judge()
+
+
+def naive(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+
+
+TRICKY = ["a.b@c", "x@y.z@w.q", "a@b@c.d", "1.2.3.4.5.6", "1.2.3.456", "+1 (017) 555-7713", "1" * 30 + ".1.1.1 x@1.2", "..@a.b", "4111 1111 1111 1111", "4111-1111-1111-1111-", "a@b..c", "@a.b", "a@b.c.", "0001.2.3.4", "+12345678+123456789", "é1.2.3.4ü", "00000000255.1.1.1", "a@@b.c", "+1+2-33333333"]
+
+
+@pytest.mark.parametrize("text", TRICKY)
+def test_base(text):
+    assert pii.base_spans(text) == naive(text)
+
+
+def test_base_on_documents_and_random(texts):
+    rng = np.random.default_rng(0)
+    made = ["".join(rng.choice(list("1234567890.+-() @ab"), 60)) for _ in range(500)]
+    for t in [*texts.values(), *made]:
+        assert pii.base_spans(t or "") == naive(t or "")
+
+
+def test_added_spans(own):
+    found = lambda t: {(k, t[a:b]) for k, a, b in pii.find(t, own)[1]}
+    assert ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962") in found('x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y')
+    assert ("iban", "DE89370400440532013000") in found("account DE89370400440532013000 please")
+    for clean in ("Licensed under the Apache License, Version 2.0.", "in 1999, 2000 and 2001", "total 12.50", "see section 1.2", "The reshen from. Erntan."):
+        assert found(clean) == set()
+
+
+def test_spans_do_not_overlap_base(own, texts):
+    for t in texts.values():
+        base, spans = pii.find(t or "", own)
+        assert set(base) <= set(spans)
+        added = [s for s in spans if s not in base]
+        assert not any(a < d and b > c for _, a, b in added for k, c, d in spans if (k, c, d) not in added)
+
+
+def test_held_out_texts(own):
+    rows = pii.made_up(seed=99, n=3000)
+    p = own.trees.predict(np.array([pii.features(t, s) for t, s, _ in rows]))
+    said = np.array([x >= own.least[s[0]] for x, (_, s, _) in zip(p, rows)])
+    good = np.array([g for *_, g in rows])
+    assert good[said].mean() > 0.95 and said[good].mean() > 0.8
+
+
+def test_trees():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(800, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    assert ((boosting.BoostedTrees().fit(x[:600], y[:600]).predict(x[600:]) > 0.5) == y[600:]).mean() > 0.9
+
+
+def test_redaction():
+    assert pii.redact("a 1.2.3.4 b", [("ip", 2, 9)]) == "a <IP> b"
+    assert pii.redact("abcdef", [("card", 1, 4), ("phone", 3, 5)]) == "a<CARD>f"
+
+
+def test_nasty(nasty, nasty_rows, empty):
+    got = pii.personal_data(nasty).collect()
+    assert len(got) == len(nasty_rows)
+    mine = next(r for r in got if r["doc_id"] == 10)
+    assert (mine["n_email"], mine["n_phone"], mine["spans"]) == (1, 1, "email:9:26,phone:28:45")
+    out = pii.redacted(nasty)
+    assert out.columns == nasty.columns and out.count() == len(nasty_rows)
+    assert out.where("doc_id = 10").first()["text"] == "Mail me: <EMAIL>, <PHONE>"
+    assert out.where("text IS NULL").count() == sum(r[1] is None for r in nasty_rows)
+    assert pii.personal_data(empty).collect() == [] and pii.redacted(empty).collect() == []
