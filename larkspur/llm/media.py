@@ -2,7 +2,7 @@
 
 One Aho-Corasick pass over the bytes locates every magic number; the validator of its format then walks the structure
 and confirms the lengths it gives, so that a chance hit in text counts for nothing. What is valid at the start corrects
-the declared type; what is valid further on, and not inside another find, is carved.
+the declared type; what is valid further on, and not inside another carved find, is carved, from inside the first file too.
 
 Defined results: null and empty media have type None and no finds; bytes that no validator confirms keep no type
 (media_type null) and their declared type stays uncorrected; of finds at one place the longest counts; repeated rows
@@ -221,14 +221,11 @@ def sniff(data: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
                 found.append((at, -size, kind))
     found.sort()
     first = next((k for at, _, k in found if at == 0), None)
-    out, over = [], 0
+    out, over = [], 1
     for at, size, kind in found:
         if at >= over:
+            out.append((kind, at, -size))
             over = at - size
-            if at:
-                out.append((kind, at, -size))
-        elif at and not (out and at < out[-1][1] + out[-1][2]) and first and at - size <= over and first not in ("application/zip", "application/gzip"):
-            out.append((kind, at, -size))  # inside the file that starts at 0
     return first, out
 
 
