@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.session import broadcast_if_small
+
 
 @dataclass
 class Target:
@@ -29,14 +31,14 @@ def lookup_join(source: DataFrame, key: list[str], targets: list[Target], defaul
     """Each target in turn: inner drops rows without a match and appends values; outer appends the default instead; filter
     drops rows with a match; sub replaces columns and drops rows without a match.
 
-    small: the caller has checked that the targets are small; they are then broadcast. Otherwise Spark chooses by size.
+    small: targets are broadcast as far as their size is checked to be small. Otherwise Spark chooses.
     """
     out = source
     for n, t in enumerate(targets):
         keyed = [f"_k{n}_{i}" for i in range(len(t.key))]
         side = one_per_key(t.table, t.key, [] if t.kind == "filter" else t.values)
         side = side.select(*[F.col(k).alias(a) for k, a in zip(t.key, keyed)], *([] if t.kind == "filter" else [F.col("_v").alias(f"_v{n}")]))
-        side = F.broadcast(side) if small else side
+        side = broadcast_if_small(side) if small else side
         match = [F.col(f"_s.{k}") == F.col(a) for k, a in zip(key, keyed)]
         left = out.alias("_s")
         if t.kind == "filter":

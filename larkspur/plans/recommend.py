@@ -33,14 +33,16 @@ def score_topk(users: DataFrame, items: DataFrame, k: int, extra: DataFrame | No
                 y = np.array([r["f"] for r in row.own]).T
                 order = np.argsort(ids)
                 ids, y = ids[order], y[:, order]
-                for at in range(0, len(row.who), 256):
-                    who = row.who[at : at + 256]
-                    s = np.array([r["f"] for r in who]) @ y
-                    out = []
-                    for r, x in zip(who, s):
-                        top = np.argsort(-x, kind="stable")[: r["take"]]
-                        out.append(pd.DataFrame({"user": r["id"], "item": ids[top], "score": x[top], "take": r["take"]}))
-                    yield pd.concat(out)
+                take = np.array([r["take"] for r in row.who])
+                x = np.array([r["f"] for r in row.who])
+                found = []
+                for at in range(0, len(x), 256):
+                    s = x[at : at + 256] @ y
+                    # Stable, so that of equal scores the lowest ids stay.
+                    found += [top[:n] for top, n in zip(np.argsort(-s, axis=1, kind="stable")[:, : take.max()], take[at : at + 256])]
+                own = np.repeat(np.arange(len(x)), [len(f) for f in found])
+                at = np.concatenate(found)
+                yield pd.DataFrame({"user": np.array([r["id"] for r in row.who])[own], "item": ids[at], "score": np.einsum("ij,ji->i", x[own], y[:, at]), "take": take[own]})
 
     # A group of users goes once to each block of items: (users / block) x (items / block) rows.
     pairs = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "b").select("who", "own")

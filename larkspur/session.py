@@ -46,3 +46,11 @@ def written(df, name: str = "table"):
     path = f"{shared_folder(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df, most: int = 64 << 20):
+    """df with a broadcast hint if Catalyst's estimate of its size is at most `most` bytes; else as it is, for a shuffle join."""
+    from pyspark.sql import functions as F
+
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df

@@ -207,3 +207,11 @@ def test_patterns(spark):
     got = rows(patterns.top_patterns(baskets, 3, 2))
     assert got == [("a", ["a", "b"], 3, 1), ("a", ["a"], 3, 2), ("b", ["a", "b"], 3, 1), ("b", ["b"], 3, 2)]
     assert patterns.top_patterns(baskets.where("false"), 3, 2).collect() == []
+
+
+def test_broadcast_only_if_small(spark, sf):
+    from larkspur.session import broadcast_if_small
+
+    df = spark.read.parquet(f"{sf}/customer.parquet")
+    hinted = lambda most: "broadcast" in broadcast_if_small(df, most)._jdf.queryExecution().logical().toString().lower()
+    assert hinted(1 << 30) and not hinted(10)
