@@ -6,6 +6,9 @@ skipped and no link is lost. The tiles that are left are compared by exclusive-o
 reports a spanning forest of the links of a tile pair, never all pairs of a group; components come from star
 contraction, each round written to the shared folder.
 
+Groups by similarity (`similar_groups`, which the pipeline's stage takes) use wider fingerprints of five-word shingles to
+find candidates in tiles, and check each candidate's Jaccard similarity on the shingles themselves.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows get the same
 component; an empty table gives an empty table; other columns of the input are not read.
 """
@@ -21,26 +24,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import by_batch, drop_written, id_text, table, written
-from larkspur.llm.rows import SPARK_SEED, keep_rows
+from larkspur.llm.rows import SPARK_SEED, keep_rows, sifted
 
 WORDS, SEED, RADIUS, SEGMENTS, TILE = 3, 42, 2, 4, 4096
+#: Of groups by similarity: five words, 0.8; 4 x 64 bits. Sets of similarity 0.8 differ in 39 bits of 256 on average, with
+#: a deviation of 6; other texts in 128, with a deviation of 8. Of the first 64 bits the like differ in 10, deviation 3.
+SIMILAR_WORDS, SIMILAR, WIDE, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 4, 68, 22
 _CHUNK = 1 << 15
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     """64 bits, each set where over half of the shingles' XXH64 have it; zero without a word."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
+    return _majority(np.array(_digests(parts, words, seed), np.uint64)) if parts else 0
+
+
+def _digests(parts: list[bytes], words: int, seed: int) -> list[int]:
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        hashes = [digest(joined, seed)]
-    else:
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        end = np.cumsum(size + 1) - 1
-        hashes = [digest(joined[a:b], seed) for a, b in zip((end - size)[: 1 - words].tolist(), end[words - 1 :].tolist())]
-    h = np.array(hashes, dtype="<u8")
+        return [digest(joined, seed)]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    end = np.cumsum(size + 1) - 1
+    return [digest(joined[a:b], seed) for a, b in zip((end - size)[: 1 - words].tolist(), end[words - 1 :].tolist())]
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    h = h.astype("<u8")
     count = np.zeros(64, np.int64)
     for i in range(0, len(h), _CHUNK):
         count += np.unpackbits(h[i : i + _CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -160,11 +171,145 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
     return marked.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; all columns as they are."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = first.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    kept = written(named.groupBy("root", "doc_id").agg(F.min(F.struct("th", "n")).alias("k")).select("doc_id", "k.th", "k.n"), "simhash-kept")
+def shingle_hashes(text: str, words: int = SIMILAR_WORDS, seed: int = SEED) -> np.ndarray:
+    """The distinct XXH64 of the shingles, ascending; of fewer words the whole sequence is one shingle, of none there is none."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.array(_digests(parts, words, seed), np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, width: int = WIDE) -> list[int]:
+    """width times 64 bits from the hashes, each mixed anew for every 64 bits."""
+    out = []
+    for k in range(width):
+        x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def tightest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+    """Links within the radius that form a minimum spanning forest of the rows (places in a, then in b) that have any between a and b (None: within a)."""
+    other = a if b is None else b
+    near_a, near_b = np.zeros(len(a), bool), np.zeros(len(other), bool)
+    block = max(1, (1 << 19) // max(1, len(other)))
+    for at in range(0, len(a), block):
+        # The first 64 bits settle most pairs: their distance is at most that of all bits.
+        i, j = np.nonzero(np.bitwise_count(a[at : at + block, None, 0] ^ other[None, :, 0]) <= FIRST_RADIUS)
+        i += at
+        if b is None:
+            i, j = i[j > i], j[j > i]
+        close = np.bitwise_count(a[i] ^ other[j]).sum(axis=1) <= radius
+        near_a[i[close]] = True
+        near_b[j[close]] = True
+    if b is None:
+        at = np.flatnonzero(near_a | near_b)
+        rows = a[at]
+    else:
+        at = np.concatenate([np.flatnonzero(near_a), len(a) + np.flatnonzero(near_b)])
+        rows = np.concatenate([a[near_a], b[near_b]])
+    found: list[tuple[int, int]] = []
+    if len(rows):
+        left = np.arange(len(rows))
+        best, link = np.full(len(rows), radius + 1), np.full(len(rows), -1)
+        while len(left):
+            k = int(np.argmin(best[left]))
+            x = left[k]
+            if best[x] <= radius:
+                found.append((int(at[link[x]]), int(at[x])))
+            left = np.delete(left, k)
+            d = np.bitwise_count(rows[left] ^ rows[x]).sum(axis=1)
+            nearer = d < best[left]
+            best[left[nearer]], link[left[nearer]] = d[nearer], x
+    return found
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, words: int, least: float, radius: int, tile: int = TILE) -> DataFrame:
+    """u, v (uid): texts whose shingles have a Jaccard similarity of at least `least`, as many as connect the same.
+
+    Sets that similar have sizes in that ratio at least, so tiles of other classes of size are skipped, as are those whose
+    population counts differ beyond the radius. In each tile pair the minimum spanning forest by bits is kept: where two
+    texts are similar, a path of links with no more bits each joins them. Each link is then checked on the shingles.
+    """
+    base = 1 / least
+    size = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / float(np.log(base)) + 1e-9)).otherwise(-5)
+    ones = sum((F.bit_count(F.col("w")[k]) for k in range(WIDE)), F.lit(0))
+    celled = marked.select("uid", "w", size.alias("cell"), F.floor(ones / 32).alias("ones"))
+    # Classes of size and of population count: some hundred at any number of texts.
+    counts = celled.groupBy("cell", "ones").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
+    tiles = (
+        celled.join(F.broadcast(counts), ["cell", "ones"])
+        .groupBy("cell", "ones", F.pmod(F.xxhash64("uid"), "parts").alias("part"))
+        .agg(F.collect_list(F.struct("uid", "w")).alias("own"))
+        .select("cell", "ones", "part", F.transform("own", lambda x: x["uid"]).alias("uids"), F.flatten(F.transform("own", lambda x: x["w"])).alias("ws"))
+    )
+    tiles = written(tiles, "similar-tiles")
+    a = tiles.withColumn("cell_b", F.explode(F.array(F.col("cell"), F.col("cell") + 1)))
+    b = tiles.select(F.col("cell").alias("cell_b"), F.col("ones").alias("ones_b"), F.col("part").alias("part_b"), F.col("uids").alias("uids_b"), F.col("ws").alias("ws_b"))
+    once = "(cell <> cell_b OR (ones, part) <= (ones_b, part_b))"
+    apart = f"(greatest(ones, ones_b) - least(ones, ones_b) - 1) * 32 < {radius}"
+    pairs = a.join(b, "cell_b").where(f"{once} AND {apart}").select(F.expr("cell = cell_b AND ones = ones_b AND part = part_b").alias("same"), "uids", "ws", "uids_b", "ws_b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        u, v = [], []
+        values = lambda name, i: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+        for i, same in enumerate(batch.column("same").to_pylist()):
+            ids = values("uids", i) if same else np.concatenate([values("uids", i), values("uids_b", i)])
+            x = values("ws", i).view(np.uint64).reshape(-1, WIDE)
+            for p, q in tightest(x, None if same else values("ws_b", i).view(np.uint64).reshape(-1, WIDE), radius):
+                u.append(min(ids[p], ids[q]))
+                v.append(max(ids[p], ids[q]))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    found = written(by_batch(pairs, run, "u long, v long").distinct(), "similar-candidates")
+    asked = written(found.select(F.explode(F.array("u", "v")).alias("uid")).distinct().join(marked.select("uid", "doc_id", "th"), "uid"), "similar-asked")
+    texts = sifted(id_text(docs), asked).withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"])
+    sets = texts.join(asked.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("uid", "text")
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(own, pa.binary())], ["uid", "own"])
+
+    sets = written(by_batch(sets, hashed, "uid long, own binary"), "similar-sets")
+
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            good.append(both >= least * (len(p) + len(q) - both))
+        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    both = found.join(sets.select(F.col("uid").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("uid").alias("v"), F.col("own").alias("y")), "v")
+    return by_batch(both.select("u", "v", "x", "y"), check, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR, radius: int = WIDE_RADIUS) -> DataFrame:
+    """uid, doc_id, th, root (one uid of the group): groups of texts that similarity of at least `least` on shingles of `words` words links."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column("text").to_pylist()
+        sets = [shingle_hashes(t, words) for t in text]
+        th = np.fromiter((xxhash.xxh64_intdigest(t, SPARK_SEED) for t in text), np.uint64, len(text))
+        wide = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(th.view(np.int64)), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(wide), pa.list_(pa.int64()))], ["doc_id", "th", "n", "w"])
+
+    marked = by_batch(id_text(docs), run, "doc_id long, th long, n long, w array<bigint>")
+    marked = written(marked.withColumn("uid", F.monotonically_increasing_id()), "similar")
+    edges = written(similar_links(docs, marked, words, least, radius), "similar-links")
+    if edges.isEmpty():
+        return marked.select("uid", "doc_id", "th", F.col("uid").alias("root"))
+    roots = components(edges).withColumnRenamed("v", "uid")
+    return marked.join(roots, "uid", "left").select("uid", "doc_id", "th", F.coalesce("root", "uid").alias("root"))
+
+
+def near_dedup(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
+    """docs with one row of each group, that of the smallest doc_id (null last); all columns as they are."""
+    groups = similar_groups(docs, words, least).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
+    kept = written(first.groupBy("k.doc_id", "k.th").agg(F.sum("k.n").alias("n")), "simhash-kept")
     return keep_rows(docs, kept)
 
 

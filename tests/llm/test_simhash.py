@@ -34,6 +34,26 @@ def groups(fps, ids, radius=2):
     return [least.get(find(i)) for i in range(len(a))]
 
 
+def similar(texts, words=5, least=0.8):
+    """For each text the place of the first one of its group, all pairs compared."""
+    sets, up = [], list(range(len(texts)))
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
 def check(df, rows):
     got = sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=repr)
     fps = [brute(t) for _, t in rows]
@@ -48,9 +68,13 @@ def test_documents(spark, sf, documents, texts):
 def test_nasty(nasty, nasty_rows, empty):
     check(nasty, [r[:2] for r in nasty_rows])
     kept = simhash.near_dedup(nasty)
-    assert kept.columns == nasty.columns
-    fps = [brute(r[1]) for r in nasty_rows]
-    assert kept.count() == len(set(groups(fps, [r[0] for r in nasty_rows])))
+    assert kept.columns == nasty.columns and kept.schema == nasty.schema
+    want = similar([r[1] for r in nasty_rows])
+    assert kept.count() == len(set(want))
+    first = {}
+    for r, g in zip(nasty_rows, want):
+        first[g] = min(first.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())) == sorted(first.values())
     assert simhash.near_duplicates(empty).collect() == [] and simhash.near_dedup(empty).collect() == []
 
 
@@ -90,3 +114,41 @@ def test_one_id_in_two_groups_keeps_both(spark):
     rows = [(5, "one two three four five six"), (5, "seven eight nine ten eleven twelve"), (6, "one two three four five six"), (5, "one two three four five six")]
     kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect())) == sorted(set(rows[:2]))
+
+
+def test_similar_groups_against_brute_force(spark, documents, texts):
+    rng = np.random.default_rng(4)
+    rows = list(texts.items())
+    long = [t for _, t in rows if t and len(t.split()) > 200][:6]
+    for n, t in enumerate(long):  # near copies of them, some of those of copies
+        words = t.split()
+        for k in range(12):
+            new = list(words)
+            for i in rng.choice(len(new), max(1, len(new) * (k % 6) // 150), replace=False):
+                new[i] = f"changed{k}"
+            rows.append((10**6 + 100 * n + k, " ".join(new)))
+            words = new if k % 3 == 2 else words
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(df).collect()}
+    want = similar([t for _, t in rows])
+    pairs = set(zip([got[d] for d, _ in rows], want))
+    assert len(pairs) == len(set(want)) == len(set(got.values())) < len(rows) - 40
+
+
+def test_tightest_is_a_minimum_spanning_forest():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, (4, simhash.WIDE)).astype(np.uint64)
+    rows = np.repeat(base, 15, axis=0)
+    for r in rows:
+        for bit in rng.integers(0, 64, 6):
+            r[int(rng.integers(simhash.WIDE))] ^= np.uint64(1) << np.uint64(bit)
+    d = np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=2).astype(int)
+    up, weight = list(range(len(rows))), 0
+    find = lambda x: x if up[x] == x else find(up[x])
+    for w, i, j in sorted((d[i, j], i, j) for i in range(len(rows)) for j in range(i)):
+        if w <= 40 and find(i) != find(j):
+            up[find(i)], weight = find(j), weight + w
+    found = simhash.tightest(rows, None, 40)
+    assert sum(d[i, j] for i, j in found) == weight and len(found) == len(rows) - len({find(i) for i in range(len(rows))})
+    split = simhash.tightest(rows[:30:2], rows[1:30:2], 40)
+    assert len(split) == 28
