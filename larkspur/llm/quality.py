@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import by_batch, crc_column, crc_text, id_text, table
+from larkspur.llm.common import by_batch, crc_column, crc_text, id_text, table, written
+from larkspur.llm.rows import sifted
 
 BITS, SAMPLE, SMOOTH, COST, EPOCHS = 18, 1500, 1.0, 1.0, 20
 FOLDS, HELD = 3, 1
@@ -148,12 +149,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, y of the documents that have a label and are not held out. Null ids are never labelled."""
     own = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     own = own.groupBy("doc_id").agg(F.min("y").alias("y")).where(crc_column() % FOLDS != HELD)
-    return id_text(docs).join(own, "doc_id")
+    # A merge join whatever the size, as labels grow with documents; the text of documents without a label stays out of it.
+    return sifted(id_text(docs), own).join(own.hint("merge"), "doc_id")
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(labelled_rows(docs, labels), sample))
+    model = docs.sparkSession.sparkContext.broadcast(learn(written(labelled_rows(docs, labels), "quality-labelled"), sample))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = model.value.scores(batch.column("text").to_pylist())

@@ -1,6 +1,7 @@
 import numpy as np
 
 from larkspur.llm import quality
+from larkspur.llm.rows import sifted
 
 
 def test_grams():
@@ -36,3 +37,10 @@ def test_nasty(nasty, nasty_rows, labels, empty, spark):
     assert len(one_class) == len(nasty_rows) and all(r["score"] > 0.5 for r in one_class)
     assert {r["score"] for r in quality.scored(nasty, own.where("false")).collect()} == {0.5}
     assert quality.scored(empty, labels).collect() == []
+
+
+def test_sieve_loses_no_labelled_row(spark):
+    docs = spark.range(-3000, 3000).selectExpr("id AS doc_id", "'x' AS text")
+    ids = docs.where("doc_id % 7 = 0").select("doc_id")
+    kept = {r["doc_id"] for r in sifted(docs, ids).collect()}
+    assert {i for i in range(-3000, 3000) if i % 7 == 0} <= kept and len(kept) < 900
