@@ -30,6 +30,7 @@ WORDS, SEED, RADIUS, SEGMENTS, TILE = 3, 42, 2, 4, 4096
 #: Of groups by similarity: five words, 0.8; 4 x 64 bits. Sets of similarity 0.8 differ in 39 bits of 256 on average, with
 #: a deviation of 6; other texts in 128, with a deviation of 8. Of the first 64 bits the like differ in 10, deviation 3.
 SIMILAR_WORDS, SIMILAR, WIDE, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 4, 68, 22
+SIMILAR_TILE, BUNDLE = 2048, 16
 _CHUNK = 1 << 15
 
 
@@ -226,7 +227,7 @@ def tightest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int
     return found
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, words: int, least: float, radius: int, tile: int = TILE) -> DataFrame:
+def similar_links(docs: DataFrame, marked: DataFrame, words: int, least: float, radius: int, tile: int = SIMILAR_TILE) -> DataFrame:
     """u, v (uid): texts whose shingles have a Jaccard similarity of at least `least`, as many as connect the same.
 
     Sets that similar have sizes in that ratio at least, so tiles of other classes of size are skipped, as are those whose
@@ -246,11 +247,16 @@ def similar_links(docs: DataFrame, marked: DataFrame, words: int, least: float,
         .select("cell", "ones", "part", F.transform("own", lambda x: x["uid"]).alias("uids"), F.flatten(F.transform("own", lambda x: x["w"])).alias("ws"))
     )
     tiles = written(tiles, "similar-tiles")
-    a = tiles.withColumn("cell_b", F.explode(F.array(F.col("cell"), F.col("cell") + 1)))
-    b = tiles.select(F.col("cell").alias("cell_b"), F.col("ones").alias("ones_b"), F.col("part").alias("part_b"), F.col("uids").alias("uids_b"), F.col("ws").alias("ws_b"))
-    once = "(cell <> cell_b OR (ones, part) <= (ones_b, part_b))"
+    # A tile goes to each bundle of BUNDLE tiles that it may have links to, so that a class of any size is many tasks' work.
+    bundles = counts.select(F.col("cell").alias("cell_b"), F.col("ones").alias("ones_b"), F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / BUNDLE))).alias("bundle"))
     apart = f"(greatest(ones, ones_b) - least(ones, ones_b) - 1) * 32 < {radius}"
-    pairs = a.join(b, "cell_b").where(f"{once} AND {apart}").select(F.expr("cell = cell_b AND ones = ones_b AND part = part_b").alias("same"), "uids", "ws", "uids_b", "ws_b")
+    a = tiles.withColumn("cell_b", F.explode(F.array(F.col("cell"), F.col("cell") + 1))).join(bundles, "cell_b").where(apart)
+    b = tiles.select(
+        F.col("cell").alias("cell_b"), F.col("ones").alias("ones_b"), F.floor(F.col("part") / BUNDLE).alias("bundle"), F.col("part").alias("part_b"), F.col("uids").alias("uids_b"), F.col("ws").alias("ws_b")
+    )
+    once = "(cell <> cell_b OR (ones, part) <= (ones_b, part_b))"
+    same = F.expr("cell = cell_b AND ones = ones_b AND part = part_b")
+    pairs = a.join(b, ["cell_b", "ones_b", "bundle"]).where(once).select(same.alias("same"), "uids", "ws", "uids_b", "ws_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         u, v = [], []
