@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import by_batch, id_text, table, written
 
-GIANT, CHUNK, MEMORY, LONG, GO = 65536, 16384, 250_000, 48, 64
+GIANT, CHUNK, MEMORY, LONG, GO = 65536, 16384, 250_000, 48, 128
 MARK, OTHER = "▁", "￿"
 _unit = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -68,6 +68,7 @@ class Vocabulary:
         self.score = np.append(self.score, self.none)
         self.unknown = n
         self.held: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def arcs(self, units: list[str]):
         """Unit, start, end, piece of every arc, by end and then by unit; ends may lie past a unit's body."""
@@ -90,45 +91,50 @@ class Vocabulary:
         unit, end = unit[order], end[order]
         return unit, end - length[order], end, piece[order], size
 
-    def best(self, units: list[str], body: list[int] | None = None, entry: list[int] | None = None, leave: list[int] | None = None) -> list[np.ndarray]:
-        """Piece numbers of the best way from entry to body + leave characters of each unit, whose arcs start in its body."""
+    def best(self, units: list[str], body: list[int] | None = None, entry: list[int] | None = None, leave: list[int] | None = None):
+        """The pieces of the best ways from entry to body + leave characters of each unit, whose arcs start in its body.
+
+        Returns pieces and starts, unit after unit, and how many each unit has.
+        """
         unit, start, end, piece, size = self.arcs(units)
         body = size if body is None else np.array(body)
         at0 = np.zeros(len(units), np.int64) if entry is None else np.array(entry)
         goal = body if leave is None else body + np.array(leave)
         inside = start < body[unit]
-        unit, start, end, piece = unit[inside], start[inside], end[inside], piece[inside]
-        most = int(end.max(initial=0))
-        score = np.full((len(units), most + 1), -np.inf)
-        by = np.full((len(units), most + 1), -1)
-        score[np.arange(len(units)), at0] = 0
-        bounds = np.searchsorted(end, np.arange(1, most + 2))
-        value = self.score[piece]
-        for e in range(1, most + 1):
-            lo, hi = bounds[e - 1], bounds[e]
+        if not inside.all():
+            unit, start, end, piece = unit[inside], start[inside], end[inside], piece[inside]
+        width = int(end.max(initial=0)) + 1
+        score = np.full(len(units) * width, -np.inf)
+        by = np.full(len(units) * width, -1)
+        row = np.arange(len(units)) * width
+        score[row + at0] = 0
+        source, target, value = row[unit] + start, row[unit] + end, self.score[piece]
+        head = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[head, len(target)])
+        arc = np.searchsorted(end, np.arange(1, width + 1))
+        group = np.searchsorted(head, arc)
+        for e in range(width - 1):
+            lo, hi, g, h = arc[e], arc[e + 1], group[e], group[e + 1]
             if lo == hi:
                 continue
-            u = unit[lo:hi]
-            c = score[u, start[lo:hi]] + value[lo:hi]
-            head = np.r_[True, u[1:] != u[:-1]]
-            group = np.cumsum(head) - 1
-            top = np.maximum.reduceat(c, np.flatnonzero(head))
-            hit = np.flatnonzero(c == top[group])
-            g = group[hit]
-            hit = hit[np.r_[True, g[1:] != g[:-1]]]
-            better = c[hit] > score[u[hit], e]
-            hit = hit[better]
-            score[u[hit], e] = c[hit]
-            by[u[hit], e] = lo + hit
-        out = []
-        for k in range(len(units)):
-            e, path = int(goal[k]), []
-            while e > at0[k]:
-                a = by[k, e]
-                path.append(a)
-                e = start[a]
-            out.append((piece[path[::-1]], start[path[::-1]]) if path else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        return out
+            c = score[source[lo:hi]] + value[lo:hi]
+            top = np.maximum.reduceat(c, head[g:h] - lo)
+            to = target[head[g:h]]
+            old = score[to]
+            hit = np.flatnonzero((c == np.repeat(top, count[g:h])) & np.repeat(top > old, count[g:h]))
+            by[target[lo:hi][hit]] = lo + hit
+            score[to] = np.maximum(old, top)
+        at, going, steps = goal.copy(), np.flatnonzero(goal > at0), []
+        while len(going):
+            a = by[row[going] + at[going]]
+            steps.append((going, a))
+            at[going] = start[a]
+            going = going[at[going] > at0[going]]
+        if not steps:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(units), np.int64)
+        who, path = (np.concatenate(x) for x in zip(*steps[::-1]))
+        path = path[np.argsort(who, kind="stable")]
+        return piece[path], start[path], np.bincount(who, minlength=len(units))
 
     def transfer(self, units: list[str], body: list[int]) -> np.ndarray:
         """[unit, state at its start, state at its end]: best scores, -inf where there is no way."""
@@ -150,36 +156,45 @@ class Vocabulary:
                 score[u[first], e] = np.maximum(score[u[first], e], np.maximum.reduceat(score[u, start[lo:hi]] + value[lo:hi], first, axis=0))
         return np.stack([score[k, n : n + s].T for k, n in enumerate(body)])
 
-    def numbers(self, found, original: str) -> bytes:
-        """found: pieces and their starts in a unit whose characters are those of original."""
-        piece, start = found
-        if (piece == self.unknown).any():
-            out: list[int] = []
-            for p, a in zip(piece.tolist(), start.tolist()):
-                out += [self.byte[b] for b in original[a].encode("utf-8", "surrogatepass")] if p == self.unknown else [p]
-            piece = np.array(out)
-        return piece.astype("<u4").tobytes()
+    def numbers(self, found, originals: list[str]) -> list[bytes]:
+        """found: what best() returns for units whose characters are those of the originals."""
+        piece, start, count = found
+        at = np.concatenate([[0], np.cumsum(count)])
+        data, ends = piece.astype("<u4").tobytes(), (4 * at).tolist()
+        out = [data[a:b] for a, b in zip(ends, ends[1:])]
+        for k in np.unique(np.searchsorted(at, np.flatnonzero(piece == self.unknown), side="right") - 1).tolist():
+            own: list[int] = []
+            for p, i in zip(piece[at[k] : at[k + 1]].tolist(), start[at[k] : at[k + 1]].tolist()):
+                own += [self.byte[b] for b in originals[k][i].encode("utf-8", "surrogatepass")] if p == self.unknown else [p]
+            out[k] = np.array(own, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Numbers of four bytes each, lowest first; texts of any length, each as one chunk."""
         cut = [self._units(t) for t in texts]
-        held = self.held
-        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(cut)) if w not in held]
-        if len(held) + len(new) > MEMORY:
-            held.clear()
-            new = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
+        words = dict.fromkeys(itertools.chain.from_iterable(cut))
+        if len(self.held) > MEMORY // 2:  # the units of late stay for another round
+            self.held, self.before = {}, self.held
+        held, before, new = self.held, self.before, []
         over: dict[str, bytes] = {}
+        for w in words:
+            if w not in held:
+                if (x := before.get(w)) is not None:
+                    held[w] = x
+                else:
+                    new.append(w)
         new.sort(key=len)
         at = 0
         while at < len(new):
             n = max(1, min(10_000, 2_000_000 // (len(new[at]) + 16)))
-            some = new[at : at + n]
-            some = [w for w in some if len(w) <= 2 * len(some[0]) + 16]
+            some = [w for w in new[at : at + n] if len(w) <= 2 * len(new[at]) + 16]
             to = [w.replace(MARK, OTHER).replace(" ", MARK) for w in some]
-            for w, found in zip(some, self.best(to)):
-                (held if len(w) <= LONG and len(held) < MEMORY else over)[w] = self.numbers(found, w)
+            found = dict(zip(some, self.numbers(self.best(to), some)))
+            (held if len(some[-1]) <= LONG else over).update(found)
             at += len(some)
-        return [b"".join([held.get(w) or over[w] for w in ws]) for ws in cut]
+        if over:
+            return [b"".join([held.get(w) or over[w] for w in ws]) for ws in cut]
+        return [b"".join([held[w] for w in ws]) for ws in cut]
 
     def _units(self, text: str) -> list[str]:
         """The units, with a space where the mark goes; the first one has the mark put before the text."""
@@ -277,7 +292,7 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
         ids = []
         for i in range(0, len(part), 32):
             s = slice(i, i + 32)
-            ids += [v.numbers(found, t) for t, found in zip(part[s], v.best([_marked(t) for t in part[s]], body[s], entry[s], leave[s]))]
+            ids += v.numbers(v.best([_marked(t) for t in part[s]], body[s], entry[s], leave[s]), part[s])
         return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("chunk"), pa.array(ids, pa.binary())], ["uid", "doc_id", "chunk", "ids"])
 
     setup = lambda: vocabulary(path)
