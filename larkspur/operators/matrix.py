@@ -90,21 +90,21 @@ def multiply(a: DataFrame, b: DataFrame, threshold: float | None = None, as_int:
         out = atb(transpose(a), b)
     else:
         def blocks(m: DataFrame, shared: str, own: str, prefix: str) -> DataFrame:
-            return m.groupBy(F.floor(F.col(shared) / block).alias("k"), F.floor(F.col(own) / block).alias(f"{prefix}b")).agg(
-                F.collect_list(F.struct(F.pmod(shared, F.lit(block)).cast("int").alias("s"), F.pmod(own, F.lit(block)).cast("int").alias("o"), "value")).alias(prefix)
-            )  # at most block ** 2 cells
+            cell = F.struct(F.pmod(shared, F.lit(block)).cast("int").alias("s"), F.pmod(own, F.lit(block)).cast("int").alias("o"), F.col("value").cast("double").alias("v"))
+            packed = m.groupBy(F.floor(F.col(shared) / block).alias("k"), F.floor(F.col(own) / block).alias(f"{prefix}b")).agg(F.collect_list(cell).alias("c"))  # at most block ** 2 cells
+            return packed.select("k", f"{prefix}b", *[F.col(f"c.{n}").alias(prefix + n) for n in ("s", "o", "v")])
 
-        pairs = blocks(a, "col", "row", "a").join(blocks(b, "row", "col", "b"), "k")
+        pairs = blocks(a, "col", "row", "l").join(blocks(b, "row", "col", "r"), "k")
 
         def product(frames):
             for f in frames:
                 for r in f.itertuples():
                     x, y = np.zeros((block, block)), np.zeros((block, block))
-                    for m, cells in ((x, r.a), (y, r.b)):
-                        np.add.at(m, ([c["s"] for c in cells], [c["o"] for c in cells]), [c["value"] for c in cells])
+                    np.add.at(x, (r.ls, r.lo), r.lv)
+                    np.add.at(y, (r.rs, r.ro), r.rv)
                     z = x.T @ y
                     i, j = np.nonzero(z)
-                    yield pd.DataFrame({"row": i + r.ab * block, "col": j + r.bb * block, "value": z[i, j]})
+                    yield pd.DataFrame({"row": i + r.lb * block, "col": j + r.rb * block, "value": z[i, j]})
 
         parts = pairs.mapInPandas(product, "row long, col long, value double")
         out = parts.groupBy("row", "col").agg(F.sum("value").alias("value")).where("value <> 0")
