@@ -56,6 +56,12 @@ def _over_rows(cells: DataFrame, total: Column) -> DataFrame:
     return cells.join(cells.groupBy("row").agg(total.alias("_t")), "row")
 
 
+def random_cells(spark, rows: int, cols: int, seed: int = 3) -> DataFrame:
+    """A full matrix of values between 0 and 1 that depend on place and seed alone; for trials."""
+    cells = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
+    return cells.withColumn("value", F.pmod(F.xxhash64("row", "col", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52)))
+
+
 def l1_normalise(cells: DataFrame) -> DataFrame:
     """Values over the plain sum of their row."""
     return _over_rows(cells, F.sum("value")).select("row", "col", (F.col("value") / F.nullif("_t", F.lit(0.0))).alias("value"))

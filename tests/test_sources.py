@@ -49,3 +49,22 @@ def test_dense_round_trip(spark):
 
     m = np.random.default_rng(0).random((3, 3))
     assert np.allclose(matrix.dense(matrix.from_dense(spark, m), 3, 3), m, atol=1e-6)
+
+
+def test_targets_from_text(spark, tmp_path):
+    from larkspur.operators.joins import lookup_join
+    from larkspur.sources.options import read_places, targets
+
+    for name, lines in (("s", ["A,I1,0.1", "B,I2,0.2", "C,I9"]), ("t", ["A,I1,x", "B,I2"]), ("names", ["A,Anna", "B,Bert", "C,Carl"])):
+        spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/{name}")
+    own = targets(spark, f"{tmp_path}/t::0,1:2:outer::{tmp_path}/names:0:0:1:sub")
+    assert [t.kind for t in own] == ["outer", "sub"]
+    source = read_places(spark, f"{tmp_path}/s", 3)
+    joined = lookup_join(source, ["c0", "c1"], own[:1])
+    got = lookup_join(joined, ["c0"], own[1:])
+    assert sorted(map(tuple, got.collect())) == [("Anna", "I1", "0.1", "x"), ("Bert", "I2", "0.2", ""), ("Carl", "I9", "", "null")]
+
+
+def test_random_cells(spark):
+    a, b = (matrix.random_cells(spark, 10, 10).collect() for _ in range(2))
+    assert sorted(a) == sorted(b) and len(a) == 100 and all(0 <= r["value"] < 1 for r in a)
