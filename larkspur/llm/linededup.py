@@ -9,7 +9,8 @@ stands for its interval there, as all others of it would part with the rest at t
 the longest run of lines that it shares with an earlier one. A run of MIN_WORDS words or more is deleted there; the
 first copy of it stays. Places are ordered by doc_id (null last), then by row, then by line.
 
-A group may hold a third of all rows: groups are only ever aggregated to their first place and size, then joined back.
+A group may hold a third of all rows: groups are only ever aggregated to their first place and size, which is written,
+then joined back; the join of two tables by themselves is one that Spark can split where a key is hot.
 
 Defined results: null and empty texts have no lines and come back as they are; rows are told apart even where they are
 equal, so the later of repeated rows is deleted like any copy; an empty table gives an empty table; other columns of
@@ -52,13 +53,13 @@ def _at(p: str, shift) -> F.Column:
 
 def ranks(lines: DataFrame) -> list[DataFrame]:
     """For each power of two, p and r: the places whose so many lines occur more than once, and the first place of the same."""
-    named = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "u", "i")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "u", "i")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-names")
     levels = [written(lines.join(named, ["h1", "h2"]).select(F.struct("d", "u", "i").alias("p"), "r"), "lines-rank")]
     while not levels[-1].isEmpty():
         half = 1 << (len(levels) - 1)
         left = levels[-1]
         pairs = written(left.join(left.select(_at("p", -half).alias("p"), F.col("r").alias("r2")), "p"), "lines-pairs")
-        named = pairs.groupBy("r", "r2").agg(F.min("p").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        named = written(pairs.groupBy("r", "r2").agg(F.min("p").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-names")
         levels.append(written(pairs.join(named, ["r", "r2"]).select("p", F.col("name").alias("r")), "lines-rank"))
         drop_written(pairs)
     return levels[:-1]
@@ -75,7 +76,7 @@ def seen_before(levels: list[DataFrame]) -> list[DataFrame]:
         table_k = levels[k].select(F.col("p").alias("q"), F.col("r").alias("sub"))
         x = written(state.withColumn("q", _at("p", F.col("l"))).join(table_k, "q", "left").drop("q"), "lines-split")
         split = x.where("sub IS NOT NULL")
-        groups = split.groupBy("g", "l", "sub").agg(F.min("p").alias("f"), F.count(F.lit(1)).alias("n"))
+        groups = written(split.groupBy("g", "l", "sub").agg(F.min("p").alias("f"), F.count(F.lit(1)).alias("n")), "lines-intervals")
         y = written(split.join(groups, ["g", "l", "sub"]).select("p", "g", "l", "f", "n"), "lines-groups")
         out.append(y.where("n > 1 AND p <> f").select("p", (F.col("l") + step).alias("n")))
         down = y.where("n > 1").select("p", F.col("f").alias("g"), (F.col("l") + step).alias("l"))
