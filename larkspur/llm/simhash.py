@@ -30,7 +30,7 @@ WORDS, SEED, RADIUS, SEGMENTS, TILE = 3, 42, 2, 4, 4096
 #: Of groups by similarity: five words, 0.8; 4 x 64 bits. Sets of similarity 0.8 differ in 39 bits of 256 on average, with
 #: a deviation of 6; other texts in 128, with a deviation of 8. Of the first 64 bits the like differ in 10, deviation 3.
 SIMILAR_WORDS, SIMILAR, WIDE, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 4, 68, 22
-SIMILAR_TILE, BUNDLE = 2048, 16
+SIMILAR_TILE, BUNDLE, SET_TILE = 2048, 16, 256
 _CHUNK = 1 << 15
 
 
@@ -227,12 +227,87 @@ def tightest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int
     return found
 
 
+def alike(a: list[np.ndarray], b: list[np.ndarray] | None, kind_a: np.ndarray, kind_b: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Links (places in a, then in b) of sets with a Jaccard similarity of at least `least` between a and b (None: within a) that connect all that such links connect.
+
+    Sets of one kind count as linked already. Every other pair is compared, unless links that are found join it first.
+    """
+    same = b is None
+    sets = a if same else a + b
+    _, label = np.unique(kind_a if same else np.concatenate([kind_a, kind_b]), return_inverse=True)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    vocabulary, word = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    marked = np.zeros(len(vocabulary) + 1, np.int64)
+    found = []
+    for i in range(len(a)):
+        js = np.arange(i + 1 if same else len(a), len(sets))
+        js = js[(label[js] != label[i]) & (np.minimum(size[js], size[i]) >= least * np.maximum(size[js], size[i]))]
+        if not len(js):
+            continue
+        marked[word[start[i] : start[i + 1]]] = 1
+        so_far = np.concatenate([[0], np.cumsum(marked[word[start[js[0]] : start[js[-1] + 1]]])])
+        both = so_far[start[js + 1] - start[js[0]]] - so_far[start[js] - start[js[0]]]
+        marked[:] = 0
+        for j in js[both >= least * (size[js] + size[i] - both)]:
+            if label[j] != label[i]:
+                found.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def left_apart(found: DataFrame, good: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+    """u, v (uid): the links that candidates of found still lack where some of its links failed the check; None where none failed.
+
+    found connects all candidates; good are its links that passed. Where links of found join several groups of good,
+    every pair of texts between these groups is compared on the shingles, for a pair may pass though a nearer link failed.
+    """
+    failed = written(found.join(good, ["u", "v"], "left_anti"), "similar-failed")
+    if failed.isEmpty():
+        return None
+    root = written(components(good).withColumnRenamed("v", "uid"), "similar-roots") if not good.isEmpty() else good.select(F.col("u").alias("uid"), F.col("v").alias("root"))
+    kind = lambda end: root.select(F.col("uid").alias(end), F.col("root").alias(f"kind_{end}"))
+    between = failed.join(kind("u"), "u", "left").join(kind("v"), "v", "left").select(F.coalesce("kind_u", "u").alias("u"), F.coalesce("kind_v", "v").alias("v"))
+    between = written(between.where("u <> v").distinct(), "similar-between")
+    if between.isEmpty():
+        return None
+    area = components(between).select(F.col("v").alias("kind"), F.col("root").alias("area"))
+    area = area.union(area.select("area", "area").distinct())
+    size = F.length("own") / 4
+    cell = F.when(size > 0, F.floor(F.log(size) / float(np.log(1 / least)) + 1e-9)).otherwise(-5)
+    rows = sets.join(root, "uid", "left").select("uid", "own", F.coalesce("root", "uid").alias("kind"), cell.alias("cell")).join(area, "kind")
+    rows = written(rows, "similar-apart")
+    key = ["area", "cell"]
+    counts = written(rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SET_TILE).alias("parts")), "similar-parts")
+    tiles = rows.join(counts, key).groupBy(*key, F.pmod(F.xxhash64("uid"), "parts").alias("part")).agg(F.collect_list(F.struct("uid", "kind", "own")).alias("x"))
+    tiles = written(tiles.select(*key, "part", *[F.col(f"x.{c}").alias(c) for c in ("uid", "kind", "own")]), "similar-set-tiles")
+    bundles = counts.select("area", F.col("cell").alias("cell_b"), F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / BUNDLE))).alias("bundle"))
+    a = tiles.withColumn("cell_b", F.explode(F.array(F.col("cell"), F.col("cell") + 1))).join(bundles, ["area", "cell_b"])
+    b = tiles.select("area", F.col("cell").alias("cell_b"), F.floor(F.col("part") / BUNDLE).alias("bundle"), *[F.col(c).alias(c + "_b") for c in ("part", "uid", "kind", "own")])
+    same = F.expr("cell = cell_b AND part = part_b")
+    pairs = a.join(b, ["area", "cell_b", "bundle"]).where("cell <> cell_b OR part <= part_b").select(same.alias("same"), "uid", "kind", "own", "uid_b", "kind_b", "own_b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        u, v = [], []
+        numbers = lambda name, i: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+        shingles = lambda name, i: [np.frombuffer(x, np.uint32) for x in batch.column(name)[i].as_py()]
+        for i, same in enumerate(batch.column("same").to_pylist()):
+            ids = numbers("uid", i) if same else np.concatenate([numbers("uid", i), numbers("uid_b", i)])
+            for p, q in alike(shingles("own", i), None if same else shingles("own_b", i), numbers("kind", i), None if same else numbers("kind_b", i), least):
+                u.append(min(ids[p], ids[q]))
+                v.append(max(ids[p], ids[q]))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return by_batch(pairs, run, "u long, v long").distinct()
+
+
 def similar_links(docs: DataFrame, marked: DataFrame, words: int, least: float, radius: int, tile: int = SIMILAR_TILE) -> DataFrame:
     """u, v (uid): texts whose shingles have a Jaccard similarity of at least `least`, as many as connect the same.
 
     Sets that similar have sizes in that ratio at least, so tiles of other classes of size are skipped, as are those whose
     population counts differ beyond the radius. In each tile pair the minimum spanning forest by bits is kept: where two
-    texts are similar, a path of links with no more bits each joins them. Each link is then checked on the shingles.
+    texts are similar, a path of links with no more bits each joins them. Each link is then checked on the shingles. Where
+    one fails, all pairs that it may have kept apart are compared on the shingles too (`left_apart`).
     """
     base = 1 / least
     size = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / float(np.log(base)) + 1e-9)).otherwise(-5)
@@ -289,7 +364,9 @@ def similar_links(docs: DataFrame, marked: DataFrame, words: int, least: float,
         return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     both = found.join(sets.select(F.col("uid").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("uid").alias("v"), F.col("own").alias("y")), "v")
-    return by_batch(both.select("u", "v", "x", "y"), check, "u long, v long")
+    good = written(by_batch(both.select("u", "v", "x", "y"), check, "u long, v long"), "similar-checked")
+    more = left_apart(found, good, sets, least)
+    return good if more is None else good.union(more)
 
 
 def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR, radius: int = WIDE_RADIUS) -> DataFrame:

@@ -152,3 +152,45 @@ def test_tightest_is_a_minimum_spanning_forest():
     assert sum(d[i, j] for i, j in found) == weight and len(found) == len(rows) - len({find(i) for i in range(len(rows))})
     split = simhash.tightest(rows[:30:2], rows[1:30:2], 40)
     assert len(split) == 28
+
+
+def test_a_failed_link_keeps_no_similar_pair_apart(spark):
+    rng = np.random.default_rng(68)
+    new = lambda n: [f"w{rng.integers(10**6)}" for _ in range(n)]
+    a = new(200)
+
+    def altered(n):
+        t, at = list(a), rng.integers(0, 200 - n)
+        t[at : at + n] = new(n)
+        return t
+
+    c, b = altered(16), altered(17)
+    rows = [(i, " ".join(t)) for i, t in enumerate((a, b, c))]
+    sets = [simhash.shingle_hashes(t) for _, t in rows]
+    bits = [np.array(simhash.wide_fingerprint(s), np.uint64) for s in sets]
+    far = lambda i, j: np.bitwise_count(bits[i] ^ bits[j]).sum()
+    jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    # 0 and 1 are similar, but both are nearer to 2 in bits, and 1 and 2 are not similar.
+    assert far(0, 2) < far(1, 2) < far(0, 1) <= simhash.WIDE_RADIUS and jaccard(0, 1) >= 0.8 > jaccard(1, 2)
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["root"] for r in got}) == 1
+
+
+def test_alike_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    base = [rng.choice(10**6, 60, replace=False).astype(np.uint32) for _ in range(5)]
+    sets = [np.unique(np.where(rng.random(60) < 0.08, rng.integers(0, 10**6, 60), base[k % 5])).astype(np.uint32) for k in range(40)] + [np.zeros(0, np.uint32)] * 2
+    kind = np.array([*range(37), 0, 1, 2, 40, 41])
+
+    def groups_of(links, n):
+        label = {k: k for k in kind[:n].tolist()}
+        for i, j in links:
+            x, y = label[kind[i]], label[kind[j]]
+            label = {k: y if g == x else g for k, g in label.items()}
+        return {frozenset(k for k in label if label[k] == g) for g in label.values()}
+
+    near = [(i, j) for i in range(42) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    links = simhash.alike(sets, None, kind, None, 0.8)
+    assert groups_of(links, 42) == groups_of(near, 42) and len(links) < 42
+    across = [(i, j) for i, j in near if (i < 20) != (j < 20)]
+    assert groups_of(simhash.alike(sets[:20], sets[20:], kind[:20], kind[20:], 0.8), 42) == groups_of(across, 42)
