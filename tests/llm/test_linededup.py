@@ -45,3 +45,10 @@ def test_nasty_and_empty(nasty, nasty_rows, empty, documents):
     assert linededup.line_dedup(empty).collect() == []
     none = documents.where("doc_id < 0")
     assert linededup.line_dedup(none).collect() == []
+
+
+def test_query_deletes_short_later_copies(spark, tmp_path):
+    docs = [(1, "one\n\nshort line\ntwo"), (2, "short line\nthree"), (3, "four\n\nshort line")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in linededup.op2(spark, str(tmp_path)).collect()}
+    assert got == {1: docs[0][1], 2: "three", 3: "four"}
