@@ -1,15 +1,19 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-The encoding of a text is its segmentation into pieces of the vocabulary with the highest sum of piece scores, spaces
-written as the vocabulary's mark and a mark put before the text; characters outside the vocabulary, and the mark itself
-where a text has it, become byte pieces. No piece goes on over a mark that follows another character, so a text is cut
-there into units, and a unit's encoding is worked out once and remembered (a bounded number of units). Decoding gives
-the text back exactly.
+The ids are those of the vocabulary's own library, whose pieces were made by merges. A merge encoding is the one
+segmentation in which every two neighbouring pieces fit: the merges of their joined characters give these two pieces
+back. So a way through a text weighs 0 if all its neighbours fit and minus infinity if any do not, and exactly one way
+has weight 0; nothing hangs on where a text is cut. Spaces are written as the vocabulary's mark and a mark is put before
+the text, without any other normalisation; characters outside the vocabulary become byte pieces. The mark itself, where
+a text has it, becomes bytes too (the library takes it for a space), so that decoding gives the text back exactly.
 
-A text of more than GIANT characters is split into chunks of CHUNK characters at any place. Each chunk yields the
-matrix of best scores from each state at its start (how many of its characters a piece of the chunk before took) to
-each state at its end; the matrices are combined associatively in a tree, which gives the states at all boundaries, and
-then each chunk is traced back by itself. Of segmentations with equal sums one is taken, always the same for a text.
+No piece goes on over a mark that follows another character, so a text is cut there into units, and a unit's encoding is
+worked out once and remembered (a bounded number of units).
+
+A text of more than `giant` characters is split into chunks of `chunk` characters at any place. The states at a boundary
+are the pieces that may lie over it or end at it. Each chunk yields the matrix of weights from each state at its start
+to each state at its end; the matrices are combined associatively in a tree, which gives the states at all boundaries,
+and then each chunk is traced back by itself. A text's ids are the same for every size of chunks.
 
 Defined results: null text counts as empty and has no pieces; repeated rows encode alike; an empty table gives an empty
 table; other columns of the input are not read.
@@ -21,6 +25,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import by_batch, id_text, table, written
 
 GIANT, CHUNK, MEMORY, LONG, GO = 65536, 16384, 250_000, 48, 128
+GROUP = 4  # chunks worked on at once
+SLOTS = 22  # bits of the table of remembered pairs: 40 MB
 MARK, OTHER = "▁", "￿"
-_unit = re.compile(f"{MARK}+[^{MARK}]*")
+_NONE = float("-inf")
 
 
 class Vocabulary:
@@ -46,32 +53,103 @@ class Vocabulary:
             path = public_tokenizers.path("piece_bpe_32k.model")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.matcher = ahocorasick.Automaton()
-        self.score = np.zeros(n)
+        self.text: list[str] = [""] * n
+        self.score: dict[str, float] = {}
         self.raw: list[bytes] = [b""] * n
         self.byte = [0] * 256
-        self.longest, self.cuts = 1, True
+        plain = []
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
                 self.raw[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i)):
-                self.matcher.add_word(piece, len(piece) << 16 | i)
-                self.score[i] = model.get_score(i)
+                plain.append(i)
+                self.text[i] = piece
+                self.score[piece] = model.get_score(i)
                 self.raw[i] = piece.replace(MARK, " ").encode()
+        #: Scores that several merged pieces have: their merges are told apart by place.
+        self.tied = {x for x, n in Counter(self.score.values()).items() if n > 1}
+        self.left: dict[int, list[tuple[str, float, float]]] = {}
+        self.right: dict[int, list[tuple[str, float, float]]] = {}
+        self.matcher = ahocorasick.Automaton()
+        self.longest, self.cuts = 1, True
+        for i in plain:
+            piece = self.text[i]
+            # A piece that its own merges don't give never occurs.
+            if (made := self.merged(piece))[0] == [piece]:
+                self.matcher.add_word(piece, len(piece) << 16 | i)
                 self.longest = max(self.longest, len(piece))
                 self.cuts &= MARK not in piece.lstrip(MARK)
+                self.left[i], self.right[i] = self._edge(piece, made[1], 0), self._edge(piece, made[1], 1)
         self.matcher.make_automaton()
-        #: Score of a character that is no piece, as the library has it: ten below the lowest.
-        self.none = float(self.score.min()) - 10
-        self.score = np.append(self.score, self.none)
-        self.unknown = n
+        self.unknown, self.start = n, n + 1
+        self.width = n + 2
+        self.keys = np.full(1 << SLOTS, -1)
+        self.known = np.zeros(1 << SLOTS, bool)
         self.held: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
+    def merged(self, text: str) -> tuple[list[str], dict[str, tuple[str, str]]]:
+        """The pieces that merging gives, and the two parts of each merged piece: the highest score first, of equal ones the leftmost."""
+        symbols, parts, score = list(text), {}, self.score.get
+        while True:
+            found = [score(x + y, _NONE) for x, y in zip(symbols, symbols[1:])]
+            best = max(found, default=_NONE)
+            if best == _NONE:
+                return symbols, parts
+            at = found.index(best)
+            new = symbols[at] + symbols[at + 1]
+            parts[new] = symbols[at], symbols[at + 1]
+            symbols[at : at + 2] = [new]
+
+    def _edge(self, piece: str, parts: dict[str, tuple[str, str]], side: int) -> list[tuple[str, float, float]]:
+        """What stands at an edge of a piece while it is merged: symbol, when it is there, when it is merged on (time: minus the score)."""
+
+        def made(x: str) -> float:
+            return max(-self.score[x], *map(made, parts[x])) if x in parts else -np.inf
+
+        out, until = [], np.inf
+        while True:
+            since = made(piece)
+            out.append((piece, since, until))
+            if piece not in parts:
+                return out
+            until, piece = since, parts[piece][side]
+
+    def fit(self, a: int, b: int) -> bool:
+        """Whether pieces a and b may be neighbours: no symbol at the end of a is merged with one at the start of b before either is merged on."""
+        if self.start in (a, b) or self.unknown in (a, b):
+            return True
+        score = self.score
+        for x, since_x, until_x in self.right[a]:
+            for y, since_y, until_y in self.left[b]:
+                if (s := score.get(x + y)) is not None:
+                    if s in self.tied:
+                        return self.merged(self.text[a] + self.text[b])[0] == [self.text[a], self.text[b]]
+                    at = max(-s, since_x, since_y)
+                    if at < until_x and at <= until_y:
+                        return False
+        return True
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """fit() of many pairs; the pairs of late are remembered. a may be -1, which fits nothing."""
+        key = a * self.width + b
+        slot = (key * 0x9E3779B97F4A7C1).view(np.uint64) >> np.uint64(64 - SLOTS)
+        missed = self.keys[slot] != key
+        out = self.known[slot] & (a >= 0)
+        missed &= a >= 0
+        if missed.any():
+            new, at = np.unique(key[missed], return_inverse=True)
+            found = np.fromiter((self.fit(*divmod(k, self.width)) for k in new.tolist()), bool, len(new))
+            out[missed] = found[at]
+            to = (new * 0x9E3779B97F4A7C1).view(np.uint64) >> np.uint64(64 - SLOTS)
+            _, first = np.unique(to, return_index=True)
+            self.keys[to[first]], self.known[to[first]] = new[first], found[first]
+        return out
+
     def arcs(self, units: list[str]):
-        """Unit, start, end, piece of every arc, by end and then by unit; ends may lie past a unit's body."""
+        """Unit, start, end, piece of every arc, by end and then by unit."""
         size = np.fromiter(map(len, units), np.int64, len(units))
         text = "\n".join(units) + "\n"
         found = np.fromiter(itertools.chain.from_iterable(self.matcher.iter(text)), np.int64).reshape(-1, 2)
@@ -91,73 +169,109 @@ class Vocabulary:
         unit, end = unit[order], end[order]
         return unit, end - length[order], end, piece[order], size
 
-    def best(self, units: list[str], body: list[int] | None = None, entry: list[int] | None = None, leave: list[int] | None = None):
-        """The pieces of the best ways from entry to body + leave characters of each unit, whose arcs start in its body.
-
-        Returns pieces and starts, unit after unit, and how many each unit has.
-        """
-        unit, start, end, piece, size = self.arcs(units)
-        body = size if body is None else np.array(body)
-        at0 = np.zeros(len(units), np.int64) if entry is None else np.array(entry)
-        goal = body if leave is None else body + np.array(leave)
-        inside = start < body[unit]
-        if not inside.all():
-            unit, start, end, piece = unit[inside], start[inside], end[inside], piece[inside]
-        width = int(end.max(initial=0)) + 1
-        score = np.full(len(units) * width, -np.inf)
-        by = np.full(len(units) * width, -1)
-        row = np.arange(len(units)) * width
-        score[row + at0] = 0
-        source, target, value = row[unit] + start, row[unit] + end, self.score[piece]
-        head = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[head, len(target)])
+    def ways(self, arcs, entry: np.ndarray, before: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Forward from place `entry` after piece `before` of each unit and lane: last[unit, place, lane], the one piece that the way of weight 0 ends with (-1: no way), and its arc."""
+        unit, start, end, piece, size = arcs
+        width = int(max(end.max(initial=0), entry.max(initial=0))) + 1
+        last, by = (np.full((len(size), width, lanes), -1, np.int64) for _ in range(2))
+        u, lane = np.divmod(np.arange(entry.size), lanes)
+        there = before.ravel() >= 0
+        last[u[there], entry.ravel()[there], lane[there]] = before.ravel()[there]
         arc = np.searchsorted(end, np.arange(1, width + 1))
-        group = np.searchsorted(head, arc)
-        for e in range(width - 1):
-            lo, hi, g, h = arc[e], arc[e + 1], group[e], group[e + 1]
+        for e in range(1, width):
+            lo, hi = arc[e - 1], arc[e]
             if lo == hi:
                 continue
-            c = score[source[lo:hi]] + value[lo:hi]
-            top = np.maximum.reduceat(c, head[g:h] - lo)
-            to = target[head[g:h]]
-            old = score[to]
-            hit = np.flatnonzero((c == np.repeat(top, count[g:h])) & np.repeat(top > old, count[g:h]))
-            by[target[lo:hi][hit]] = lo + hit
-            score[to] = np.maximum(old, top)
-        at, going, steps = goal.copy(), np.flatnonzero(goal > at0), []
+            prev = last[unit[lo:hi], start[lo:hi]]
+            if lanes == 1:
+                hit = np.flatnonzero(self.fits(prev[:, 0], piece[lo:hi])) + lo
+                last[unit[hit], e, 0], by[unit[hit], e, 0] = piece[hit], hit
+                continue
+            k, lane = np.nonzero(prev >= 0)
+            good = self.fits(prev[k, lane], piece[lo + k])
+            k, lane = lo + k[good], lane[good]
+            last[unit[k], e, lane], by[unit[k], e, lane] = piece[k], k
+        return last, by
+
+    def best(self, units: list[str]):
+        """The pieces of each unit: pieces and starts, unit after unit, and how many each unit has."""
+        arcs = self.arcs(units)
+        n = len(units)
+        _, by = self.ways(arcs, np.zeros((n, 1), np.int64), np.full((n, 1), self.start))
+        return self._back(arcs, by[:, :, 0], np.zeros(n, np.int64), arcs[4].copy())
+
+    def _back(self, arcs, by: np.ndarray, entry: np.ndarray, at: np.ndarray):
+        """Back from the places `at` to `entry`, all units at once."""
+        start, piece = arcs[1], arcs[3]
+        going, steps = np.flatnonzero(at > entry), []
         while len(going):
-            a = by[row[going] + at[going]]
+            a = by[going, at[going]]
             steps.append((going, a))
             at[going] = start[a]
-            going = going[at[going] > at0[going]]
+            going = going[at[going] > entry[going]]
         if not steps:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(units), np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
         who, path = (np.concatenate(x) for x in zip(*steps[::-1]))
         path = path[np.argsort(who, kind="stable")]
-        return piece[path], start[path], np.bincount(who, minlength=len(units))
-
-    def transfer(self, units: list[str], body: list[int]) -> np.ndarray:
-        """[unit, state at its start, state at its end]: best scores, -inf where there is no way."""
-        s = self.longest
-        unit, start, end, piece, _ = self.arcs(units)
-        size = np.array(body)
-        inside = start < size[unit]
-        unit, start, end, piece = unit[inside], start[inside], end[inside], piece[inside]
-        score = np.full((len(units), int(size.max()) + s, s), -np.inf)
-        for i in range(min(s, score.shape[1])):
-            score[:, i, i] = 0
-        bounds = np.searchsorted(end, np.arange(1, score.shape[1] + 1))
-        value = self.score[piece][:, None]
-        for e in range(1, score.shape[1]):
-            lo, hi = bounds[e - 1], bounds[e]
-            if lo < hi:
-                u = unit[lo:hi]
-                first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-                score[u[first], e] = np.maximum(score[u[first], e], np.maximum.reduceat(score[u, start[lo:hi]] + value[lo:hi], first, axis=0))
-        return np.stack([score[k, n : n + s].T for k, n in enumerate(body)])
+        return piece[path], start[path], np.bincount(who, minlength=len(at))
+
+    def _states(self, arcs, unit: int, at: int) -> np.ndarray:
+        """Numbers of the arcs that start before a place of a unit and end there or later: the states of a boundary, in order."""
+        own, start, end, piece, _ = arcs
+        k = np.flatnonzero((own == unit) & (start < at) & (end >= at) & (end < at + self.longest))
+        return k[np.lexsort((piece[k], end[k], start[k]))]
+
+    def chunk_states(self, arcs, lead: list[int], body: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each chunk (lead characters before it, body of its own, as many as longest - 1 after it) the states at its start (None of a text's start) and end."""
+        return [(self._states(arcs, u, n) if n else np.zeros(0, np.int64), self._states(arcs, u, n + m)) for u, (n, m) in enumerate(zip(lead, body))]
+
+    def transfer(self, parts: list[str], lead: list[int], body: list[int]) -> list[np.ndarray]:
+        """Weights from each state at a chunk's start to each at its end: 0 or minus infinity. The start of a text is one state."""
+        arcs = unit, start, end, piece, _ = self.arcs(parts)
+        states = self.chunk_states(arcs, lead, body)
+        lanes = max(1, *(len(x) for x, _ in states))
+        entry, before = np.zeros((len(parts), lanes), np.int64), np.full((len(parts), lanes), -1)
+        for u, (x, _) in enumerate(states):
+            if lead[u]:
+                entry[u, : len(x)], before[u, : len(x)] = end[x], piece[x]
+            else:
+                before[u, 0] = self.start
+        _, by = self.ways(self._inside(arcs, lead, body), entry, before, lanes)
+        out = []
+        for u, (x, y) in enumerate(states):
+            m = np.full((len(x) if lead[u] else 1, len(y)), -np.inf)
+            for j, k in enumerate(y.tolist()):
+                if lead[u] and start[k] < lead[u]:
+                    m[x == k, j] = 0  # a piece over the whole chunk
+                else:
+                    lane = np.flatnonzero(self._numbers_inside[by[u, end[k], : len(m)]] == k) if end[k] < by.shape[1] else []
+                    m[lane, j] = 0
+            out.append(m)
+        return out
+
+    def _inside(self, arcs, lead: list[int], body: list[int]):
+        """The arcs that start in a chunk's body."""
+        unit, start, end, piece, size = arcs
+        lo = np.array(lead)
+        at = np.flatnonzero((start >= lo[unit]) & (start < (lo + np.array(body))[unit]))
+        self._numbers_inside = np.append(at, -1)  # number -1 is no arc
+        return unit[at], start[at], end[at], piece[at], size
+
+    def trace(self, parts: list[str], lead: list[int], body: list[int], enter: list[int], leave: list[int]):
+        """The pieces that start in each chunk's body, on the way between two of its states; as best() gives them."""
+        arcs = self.arcs(parts)
+        states = self.chunk_states(arcs, lead, body)
+        entry, before, goal = (np.zeros(len(parts), np.int64) for _ in range(3))
+        for u, (x, y) in enumerate(states):
+            entry[u], before[u] = (arcs[2][x[enter[u]]], arcs[3][x[enter[u]]]) if lead[u] else (0, self.start)
+            k = y[leave[u]]
+            goal[u] = arcs[2][k] if arcs[1][k] >= lead[u] else entry[u]
+        inside = self._inside(arcs, lead, body)
+        _, by = self.ways(inside, entry[:, None], before[:, None])
+        return self._back(inside, by[:, :, 0], entry, goal)
 
     def numbers(self, found, originals: list[str]) -> list[bytes]:
-        """found: what best() returns for units whose characters are those of the originals."""
+        """found: what best() or trace() returns for units whose characters are those of the originals."""
         piece, start, count = found
         at = np.concatenate([[0], np.cumsum(count)])
         data, ends = piece.astype("<u4").tobytes(), (4 * at).tolist()
@@ -212,15 +326,21 @@ class Vocabulary:
         return b"".join([raw[i] for i in np.frombuffer(numbers, "<u4").tolist()]).decode("utf-8", "surrogatepass")[1:]
 
 
+def padded(matrices: list[np.ndarray]) -> np.ndarray:
+    """Square matrices of one size; what is added weighs minus infinity."""
+    n = max(max(m.shape) for m in matrices)
+    return np.stack([np.pad(m, ((0, n - m.shape[0]), (0, n - m.shape[1])), constant_values=-np.inf) for m in matrices])
+
+
 def scan(matrices: np.ndarray) -> np.ndarray:
-    """States at the n + 1 boundaries of the best way through n transfer matrices, from state 0 to state 0."""
+    """States at the n + 1 boundaries of the best way through n transfer matrices, from state 0 to the best last one."""
     levels = [matrices]
     while len(levels[-1]) > 1:
         m = levels[-1]
         pairs = len(m) // 2
-        done = [(m[i : min(i + 2048, 2 * pairs) : 2, :, :, None] + m[i + 1 : min(i + 2048, 2 * pairs) : 2, None]).max(axis=2) for i in range(0, 2 * pairs, 2048)]
+        done = [(m[i : min(i + 64, 2 * pairs) : 2, :, :, None] + m[i + 1 : min(i + 64, 2 * pairs) : 2, None]).max(axis=2) for i in range(0, 2 * pairs, 64)]
         levels.append(np.concatenate([*done, m[2 * pairs :]]))
-    states = np.zeros(2, np.int64)
+    states = np.array([0, levels[-1][0, 0].argmax()])
     for m in reversed(levels[:-1]):
         pairs = len(m) // 2
         new = np.zeros(len(m) + 1, np.int64)
@@ -260,47 +380,50 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
             uid = TaskContext.get().partitionId() << 40 | seen[0]
             seen[0] += 1
             if len(text) <= giant:
-                rows.append((uid, doc, 0, 1, found, None, 0))
+                rows.append((uid, doc, 0, 1, found, None, 0, 0))
                 continue
             text = " " + text
             n = -(-len(text) // chunk)
-            rows += [(uid, doc, k, n, None, text[k * chunk : (k + 1) * chunk + v.longest - 1], min(chunk, len(text) - k * chunk)) for k in range(n)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["uid", "doc_id", "chunk", "chunks", "ids", "part", "body"])
+            for k in range(n):
+                lead = min(v.longest, k * chunk)
+                rows.append((uid, doc, k, n, None, text[k * chunk - lead : (k + 1) * chunk + v.longest - 1], lead, min(chunk, len(text) - k * chunk)))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["uid", "doc_id", "chunk", "chunks", "ids", "part", "lead", "body"])
 
-    first = written(by_batch(id_text(docs), whole, "uid long, doc_id long, chunk int, chunks int, ids binary, part string, body int", lambda: (vocabulary(path), [0])), "pieces-first")
+    first = written(by_batch(id_text(docs), whole, "uid long, doc_id long, chunk int, chunks int, ids binary, part string, lead int, body int", lambda: (vocabulary(path), [0])), "pieces-first")
     large = first.where("part IS NOT NULL")
     if large.isEmpty():
         return first.select("doc_id", "ids")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def matrices(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
-        parts, body = [_marked(t) for t in batch.column("part").to_pylist()], batch.column("body").to_pylist()
-        found = [m.tobytes() for i in range(0, len(parts), 32) for m in v.transfer(parts[i : i + 32], body[i : i + 32])]
-        return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("chunk"), pa.array(found, pa.binary())], ["uid", "chunk", "matrix"])
+        parts, lead, body = ([_marked(t) for t in batch.column("part").to_pylist()], *(batch.column(c).to_pylist() for c in ("lead", "body")))
+        found = [m for i in range(0, len(parts), GROUP) for m in v.transfer(*(x[i : i + GROUP] for x in (parts, lead, body)))]
+        names = ["uid", "chunk", "rows", "matrix"]
+        return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("chunk"), pa.array([len(m) for m in found], pa.int32()), pa.array([(m == 0).tobytes() for m in found], pa.binary())], names)
 
-    def boundaries(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
+    def boundaries(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for uid, own in zip(batch.column("uid").to_pylist(), batch.column("own").to_pylist()):
-            m = np.stack([np.frombuffer(r["matrix"]).reshape(v.longest, v.longest) for r in sorted(own, key=lambda r: r["chunk"])])
-            states = scan(m).tolist()
-            out += [(uid, k, states[k], states[k + 1]) for k in range(len(m))]
+            open_ways = (np.frombuffer(r["matrix"], bool).reshape(r["rows"], -1) for r in sorted(own, key=lambda r: r["chunk"]))
+            states = scan(padded([np.where(m, 0.0, -np.inf) for m in open_ways])).tolist()
+            out += [(uid, k, *x) for k, x in enumerate(zip(states, states[1:]))]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["uid", "chunk", "entry", "leave"])
 
     def trace(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
-        part, body, entry, leave = (batch.column(c).to_pylist() for c in ("part", "body", "entry", "leave"))
+        columns = [batch.column(c).to_pylist() for c in ("part", "lead", "body", "entry", "leave")]
         ids = []
-        for i in range(0, len(part), 32):
-            s = slice(i, i + 32)
-            ids += v.numbers(v.best([_marked(t) for t in part[s]], body[s], entry[s], leave[s]), part[s])
+        for i in range(0, len(columns[0]), GROUP):
+            part, *more = (x[i : i + GROUP] for x in columns)
+            ids += v.numbers(v.trace([_marked(t) for t in part], *more), part)
         return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("chunk"), pa.array(ids, pa.binary())], ["uid", "doc_id", "chunk", "ids"])
 
     setup = lambda: vocabulary(path)
-    dealt = large.select("uid", "chunk", "part", "body").repartition(tasks, "uid", "chunk")
+    dealt = large.select("uid", "chunk", "part", "lead", "body").repartition(tasks, "uid", "chunk")
     # A document's matrices number as its chunks, and it is itself one row.
-    per_doc = by_batch(dealt, matrices, "uid long, chunk int, matrix binary", setup).groupBy("uid").agg(F.collect_list(F.struct("chunk", "matrix")).alias("own"))
-    states = written(by_batch(per_doc, boundaries, "uid long, chunk int, entry int, leave int", setup), "pieces-states")
-    traced = by_batch(large.join(states, ["uid", "chunk"]).select("uid", "doc_id", "chunk", "part", "body", "entry", "leave"), trace, "uid long, doc_id long, chunk int, ids binary", setup)
+    per_doc = by_batch(dealt, matrices, "uid long, chunk int, rows int, matrix binary", setup).groupBy("uid").agg(F.collect_list(F.struct("chunk", "rows", "matrix")).alias("own"))
+    states = written(by_batch(per_doc, boundaries, "uid long, chunk int, entry int, leave int"), "pieces-states")
+    traced = by_batch(large.join(states, ["uid", "chunk"]).select("uid", "doc_id", "chunk", "part", "lead", "body", "entry", "leave"), trace, "uid long, doc_id long, chunk int, ids binary", setup)
     joined = traced.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("own"))
     # The parts' numbers in order, put together as hexadecimal digits of bytes.
     giants = joined.select("doc_id", F.unhex(F.concat_ws("", F.transform("own", lambda r: F.hex(r["ids"])))).alias("ids"))
