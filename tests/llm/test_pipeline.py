@@ -14,9 +14,13 @@ def test_stages_against_brute_force(spark, sf, documents, texts):
 
     docs = corpus_pipeline.written(steps["language ID"](spark, docs, sf), "t")
     assert docs.columns == names
-    said = {r["doc_id"]: r for r in langid.identify(documents).collect()}
+    langs, p, floor = langid.learn(langid.learned_from(documents), floors=True)
+    said = dict(zip(texts, langid.Scorer(langs, p).judge(list(texts.values()))))
     one = own(docs)
-    assert one == {d: t for d, t in texts.items() if said[d]["lang_pred"] != "und" and said[d]["score"] >= 0.5}
+    assert one == {d: t for d, t in texts.items() if said[d][0] != "und" and said[d][1] >= 0.5 and said[d][2] >= floor[langs.index(said[d][0])] - langid.MARGIN}
+    assert len(one) >= 0.98 * len(texts)
+    given = {r["doc_id"]: r["lang"] for r in documents.collect()}
+    assert all(r["lang"] == (given[r["doc_id"]] if said[r["doc_id"]][1] < langid.SURE else said[r["doc_id"]][0]) for r in docs.collect())
 
     docs = corpus_pipeline.written(steps["exact dedup"](spark, docs, sf), "t")
     best = {}
