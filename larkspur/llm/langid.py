@@ -115,8 +115,9 @@ class Pieces:
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             to = w[first]
             alpha[to, e] = np.add.reduceat(alpha[w, start[s]] * p[piece[s]], first, axis=0)
-            scale[to, e] = scale[to, e - 1]
-            if e % self.longest == 0:
+            if e > self.longest:
+                scale[to, e] = scale[to, e - 1]
+            if e % self.longest == 0 and e + 1 < alpha.shape[1]:
                 _rescale(alpha, scale, slice(e - self.longest + 1, e + 1))
         return alpha, scale
 
@@ -241,7 +242,7 @@ class Scorer:
     def __init__(self, langs: list[str], p: np.ndarray, path: str | None = None):
         self.langs, self.p, self.pieces = langs, p, pieces(path)
         self.at: dict[str, int] = {}
-        self.most = max(1000, min(250_000, MEMORY // (8 * max(1, len(langs)))))
+        self.most = max(1000, min(500_000, MEMORY // (8 * max(1, len(langs)))))
         self.log = np.zeros((self.most, len(langs)))
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -250,20 +251,25 @@ class Scorer:
     def each(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """Of each text the log probability in each language and the number of letters."""
         words = [words_of(t) for t in texts]
-        short = [w for w in dict.fromkeys(w for ws in words for w in ws) if len(w) <= KEPT]
-        new = [w for w in short if w not in self.at]
+        distinct = dict.fromkeys(itertools.chain.from_iterable(words))
+        long = {w for w in distinct if len(w) > KEPT}
+        for w in long:
+            del distinct[w]
+        new = [w for w in distinct if w not in self.at]
         if len(self.at) + len(new) > len(self.log):
-            self.at, new = {}, short
+            self.at, new = {}, list(distinct)
             self.log = np.zeros((max(self.most, len(new)), len(self.langs)))
         if new:
             n = len(self.at)
             self.log[n : n + len(new)] = self.pieces.log_prob(new, self.p)
             self.at.update(zip(new, range(n, n + len(new))))
-        out = []
+        out, at = [], self.at.__getitem__
         for ws in words:
-            long = [w for w in ws if len(w) > KEPT]
-            known = self.log[[self.at[w] for w in ws if len(w) <= KEPT] if long else [*map(self.at.__getitem__, ws)]].sum(axis=0)
-            out.append((known + self.pieces.log_prob(long, self.p).sum(axis=0) if long else known, sum(map(len, ws))))
+            if long and not long.isdisjoint(ws):
+                known = self.log[[at(w) for w in ws if w not in long]].sum(axis=0) + self.pieces.log_prob([w for w in ws if w in long], self.p).sum(axis=0)
+            else:
+                known = self.log[[*map(at, ws)]].sum(axis=0)
+            out.append((known, len("".join(ws))))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
