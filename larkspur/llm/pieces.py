@@ -7,13 +7,17 @@ has weight 0; nothing hangs on where a text is cut. Spaces are written as the vo
 the text, without any other normalisation; characters outside the vocabulary become byte pieces. The mark itself, where
 a text has it, becomes bytes too (the library takes it for a space), so that decoding gives the text back exactly.
 
-No piece goes on over a mark that follows another character, so a text is cut there into units, and a unit's encoding is
-worked out once and remembered (a bounded number of units).
+Where two characters stand next to each other in no piece, whatever pieces meet there fit: above all before a mark that
+follows another character, at the end of a line, and where a word meets punctuation. A text is cut at such places into
+units, and a unit's encoding is worked out once and remembered (a bounded number of units).
 
 A text of more than `giant` characters is split into chunks of `chunk` characters at any place. The states at a boundary
 are the pieces that may lie over it or end at it. Each chunk yields the matrix of weights from each state at its start
 to each state at its end; the matrices are combined associatively in a tree, which gives the states at all boundaries,
-and then each chunk is traced back by itself. A text's ids are the same for every size of chunks.
+and then each chunk is traced back by itself. All ways of a chunk go through the starts of its words, so its matrix is the
+product of that of its first characters and that of its last ones, and what lies between is encoded by units; only where
+a chunk has no such place (a script without spaces) do the ways of all states run through it. A text's ids are the same
+for every size of chunks.
 
 Defined results: null text counts as empty and has no pieces; repeated rows encode alike; an empty table gives an empty
 table; other columns of the input are not read.
@@ -36,11 +40,13 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import by_batch, id_text, table, written
 
-GIANT, CHUNK, MEMORY, LONG, GO = 65536, 16384, 250_000, 48, 128
+GIANT, CHUNK, MEMORY, LONG, GO = 65536, 16384, 600_000, 48, 128
 GROUP = 4  # chunks worked on at once
 SLOTS = 22  # bits of the table of remembered pairs: 40 MB
 MARK, OTHER = "▁", "￿"
 _NONE = float("-inf")
+_SIGNS = "!-@\\[-`{-~"  # of a pattern: the ASCII characters besides letters, space and controls
+_sign, _word_start = re.compile(f"[{_SIGNS}]"), re.compile(f"(?<!{MARK}){MARK}")
 
 
 class Vocabulary:
@@ -83,6 +89,11 @@ class Vocabulary:
                 self.cuts &= MARK not in piece.lstrip(MARK)
                 self.left[i], self.right[i] = self._edge(piece, made[1], 0), self._edge(piece, made[1], 1)
         self.matcher.make_automaton()
+        inner = {self.text[i][k : k + 2] for i in self.left for k in range(len(self.text[i]) - 1)}
+        #: Units: of a text with spaces for marks.
+        self.unit = re.compile(" +[^ ]*")
+        if not any("\n" in x or (_sign.match(x[1]) and x[0] != MARK and not _sign.match(x[0])) for x in inner):
+            self.unit = re.compile(rf"\n+| +(?:[^ \n{_SIGNS}]+|[{_SIGNS}][^ \n]*)?|[{_SIGNS}][^ \n]*|[^ \n{_SIGNS}]+")
         self.unknown, self.start = n, n + 1
         self.width = n + 2
         self.keys = np.full(1 << SLOTS, -1)
@@ -257,15 +268,18 @@ class Vocabulary:
         self._numbers_inside = np.append(at, -1)  # number -1 is no arc
         return unit[at], start[at], end[at], piece[at], size
 
-    def trace(self, parts: list[str], lead: list[int], body: list[int], enter: list[int], leave: list[int]):
-        """The pieces that start in each chunk's body, on the way between two of its states; as best() gives them."""
+    def trace(self, parts: list[str], lead: list[int], body: list[int], enter: list[int], leave: list[int | None]):
+        """The pieces that start in each chunk's body, on the way between two of its states (None: to its last character); as best() gives them."""
         arcs = self.arcs(parts)
         states = self.chunk_states(arcs, lead, body)
         entry, before, goal = (np.zeros(len(parts), np.int64) for _ in range(3))
         for u, (x, y) in enumerate(states):
             entry[u], before[u] = (arcs[2][x[enter[u]]], arcs[3][x[enter[u]]]) if lead[u] else (0, self.start)
-            k = y[leave[u]]
-            goal[u] = arcs[2][k] if arcs[1][k] >= lead[u] else entry[u]
+            if leave[u] is None:
+                goal[u] = lead[u] + body[u]
+            else:
+                k = y[leave[u]]
+                goal[u] = arcs[2][k] if arcs[1][k] >= lead[u] else entry[u]
         inside = self._inside(arcs, lead, body)
         _, by = self.ways(inside, entry[:, None], before[:, None])
         return self._back(inside, by[:, :, 0], entry, goal)
@@ -314,12 +328,53 @@ class Vocabulary:
         """The units, with a space where the mark goes; the first one has the mark put before the text."""
         if not text:
             return []
-        if not self.cuts:
-            return [" " + text]
-        text = " " + text
-        if "  " in text or text[-1] == " ":
-            return re.findall(" +[^ ]*", text)
-        return [" " + w for w in text[1:].split(" ")]
+        return self.unit.findall(" " + text) if self.cuts else [" " + text]
+
+    def legs(self, part: str, lead: int, body: int) -> tuple[int, int] | None:
+        """Places in a chunk's body where a word starts: the first that no piece from before reaches over, and the last."""
+        if not self.cuts or not (m := _word_start.search(part, lead + self.longest, lead + body)):
+            return None
+        last = part.rfind(MARK, m.start(), lead + body)
+        while part[last - 1] == MARK and last > m.start():
+            last = part.rfind(MARK, m.start(), last)
+        return m.start(), last
+
+    def matrices(self, parts: list[str], lead: list[int], body: list[int]) -> list[np.ndarray]:
+        """transfer(), by way of the words' starts where a chunk has any."""
+        cut = [self.legs(*x) for x in zip(parts, lead, body)]
+        out: list[np.ndarray | None] = [None] * len(parts)
+        whole, short = [k for k, x in enumerate(cut) if not x], [k for k, x in enumerate(cut) if x]
+        for i in range(0, len(whole), GROUP):
+            some = whole[i : i + GROUP]
+            for k, m in zip(some, self.transfer([parts[k] for k in some], [lead[k] for k in some], [body[k] for k in some])):
+                out[k] = m
+        if short:
+            heads = self.transfer([parts[k][: cut[k][0]] for k in short], [lead[k] for k in short], [cut[k][0] - lead[k] for k in short])
+            tails = self.transfer([parts[k][cut[k][1] :] for k in short], [0] * len(short), [lead[k] + body[k] - cut[k][1] for k in short])
+            for k, head, tail in zip(short, heads, tails):
+                out[k] = head.max(axis=1)[:, None] + tail
+        return out
+
+    def traced(self, parts: list[str], lead: list[int], body: list[int], enter: list[int], leave: list[int]) -> list[bytes]:
+        """The ids of the pieces that start in each chunk's body. parts: as they are in the text, with spaces."""
+        marked = [_marked(x) for x in parts]
+        cut = [self.legs(*x) for x in zip(marked, lead, body)]
+        out = [b""] * len(parts)
+        whole, short = [k for k, x in enumerate(cut) if not x], [k for k, x in enumerate(cut) if x]
+        for i in range(0, len(whole), GROUP):
+            some = whole[i : i + GROUP]
+            found = self.trace([marked[k] for k in some], *([x[k] for k in some] for x in (lead, body, enter, leave)))
+            for k, x in zip(some, self.numbers(found, [parts[k] for k in some])):
+                out[k] = x
+        if short:
+            first, last = ([cut[k][side] for k in short] for side in (0, 1))
+            heads = self.trace([marked[k][:a] for k, a in zip(short, first)], [lead[k] for k in short], [a - lead[k] for k, a in zip(short, first)], [enter[k] for k in short], [None] * len(short))
+            tails = self.trace([marked[k][z:] for k, z in zip(short, last)], [0] * len(short), [lead[k] + body[k] - z for k, z in zip(short, last)], [0] * len(short), [leave[k] for k in short])
+            between = self.encode([parts[k][a + 1 : z] for k, a, z in zip(short, first, last)])
+            heads, tails = self.numbers(heads, [parts[k] for k in short]), self.numbers(tails, [parts[k][z:] for k, z in zip(short, last)])
+            for k, *x in zip(short, heads, between, tails):
+                out[k] = b"".join(x)
+        return out
 
     def decode(self, numbers: bytes) -> str:
         raw = self.raw
@@ -398,7 +453,7 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
 
     def matrices(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
         parts, lead, body = ([_marked(t) for t in batch.column("part").to_pylist()], *(batch.column(c).to_pylist() for c in ("lead", "body")))
-        found = [m for i in range(0, len(parts), GROUP) for m in v.transfer(*(x[i : i + GROUP] for x in (parts, lead, body)))]
+        found = v.matrices(parts, lead, body)
         names = ["uid", "chunk", "rows", "matrix"]
         return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("chunk"), pa.array([len(m) for m in found], pa.int32()), pa.array([(m == 0).tobytes() for m in found], pa.binary())], names)
 
@@ -412,10 +467,7 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
 
     def trace(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
         columns = [batch.column(c).to_pylist() for c in ("part", "lead", "body", "entry", "leave")]
-        ids = []
-        for i in range(0, len(columns[0]), GROUP):
-            part, *more = (x[i : i + GROUP] for x in columns)
-            ids += v.numbers(v.trace([_marked(t) for t in part], *more), part)
+        ids = v.traced(*columns)
         return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("chunk"), pa.array(ids, pa.binary())], ["uid", "doc_id", "chunk", "ids"])
 
     setup = lambda: vocabulary(path)
