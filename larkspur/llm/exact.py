@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import ASCII_SPACE, by_batch, id_text, table, written
 from larkspur.llm.rows import SPARK_SEED, keep_rows
 
-CAPACITY, MOST_BITS, FIRST_BITS = 512, 18, 12
+CAPACITY, MOST_BITS, FIRST_BITS, OWNER_BYTES = 512, 18, 12, 64 << 20
 _SPACE = ASCII_SPACE.encode()
 
 
@@ -67,23 +67,36 @@ class Directory:
             out[at : at + (1 << (self.depth - d))] = at
         return out
 
-
-def prefix_counts(entries: DataFrame, bits: int) -> np.ndarray:
-    found = entries.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("p")).count().collect()
-    counts = np.zeros(1 << bits, np.int64)
-    for p, n in found:
-        counts[p] = n
-    return counts
-
-
-def directory_of(entries: DataFrame, capacity: int = CAPACITY) -> Directory:
-    counts = prefix_counts(entries, FIRST_BITS)
+    def owners(self, sizes: np.ndarray, least: int, owner_bytes: int = OWNER_BYTES) -> np.ndarray:
+        """For each entry its owner: buckets in the order of their keys, cut into ranges of about owner_bytes, at least `least` ranges. sizes: bytes by hash prefix."""
+        bits = len(sizes).bit_length() - 1
+        below = np.concatenate([[0], np.cumsum(sizes)])
+        share = max(1, min(owner_bytes, int(below[-1]) // max(1, least)))
+        # Where a bucket starts, in bytes; a directory deeper than the counts shares a prefix's bytes out evenly.
+        at = self.entries() * (1.0 / (1 << self.depth)) * (1 << bits)
+        low = np.floor(at).astype(np.int64)
+        start = below[low] + (at - low) * np.append(sizes, 0)[low]
+        return np.unique((start // share).astype(np.int64), return_inverse=True)[1]
+
+
+def prefix_counts(entries: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries and their bytes by hash prefix."""
+    found = entries.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("norm") + 64).alias("size")).collect()  # at most 2 ** bits rows
+    counts, sizes = np.zeros((2, 1 << bits), np.int64)
+    for p, n, size in found:
+        counts[p], sizes[p] = n, size
+    return counts, sizes
+
+
+def directory_of(entries: DataFrame, capacity: int = CAPACITY) -> tuple[Directory, np.ndarray]:
+    """The directory, and the bytes by hash prefix."""
+    counts, sizes = prefix_counts(entries, FIRST_BITS)
     d = Directory(max(capacity, int(counts.sum()) >> (MOST_BITS - 2)))
     d.grow(counts)
     while d.overfull(counts):
-        counts = prefix_counts(entries, min(MOST_BITS, len(counts).bit_length() + 1))
+        counts, sizes = prefix_counts(entries, min(MOST_BITS, len(counts).bit_length() + 1))
         d.grow(counts)
-    return d
+    return d, sizes
 
 
 _ROWS = "doc_id long, chunk long, slot int, row int, cp long, sha string, th long, h long, n long, best_cp long, best_id long, best_row int, norm binary"
@@ -122,27 +135,27 @@ def _chunk(batch: pa.RecordBatch, at: list[int]) -> pa.RecordBatch:
     )
 
 
-_ENTRIES = "chunk long, slot int, keep_id long, keep_chunk long, keep_row int, group_size long"
+_ENTRIES = "bucket long, h long, chunk long, slot int, keep_id long, keep_chunk long, keep_row int, group_size long"
 
 
 def _own(batches):
     """Entries sorted by hash: chains those of one hash, compares bytes, and gives each local class its group."""
-    held, chains = None, []
+    held, owned, chains = None, None, []
 
     def close():
-        for norm, n, best, members in chains:
+        for _, n, best, members in chains:
             for chunk, slot in members:
-                yield chunk, slot, None if best[1] else best[2], best[3], best[4], n
+                yield owned, held, chunk, slot, None if best[1] else best[2], best[3], best[4], n
 
     def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], [x.split()[0] for x in _ENTRIES.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], [x.split()[0] for x in _ENTRIES.split(", ")])
 
     for batch in batches:
         rows = []
-        for h, norm, chunk, slot, n, cp, doc, row in zip(*(batch.column(c).to_pylist() for c in ("h", "norm", "chunk", "slot", "n", "best_cp", "best_id", "best_row"))):
+        for bucket, h, norm, chunk, slot, n, cp, doc, row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "norm", "chunk", "slot", "n", "best_cp", "best_id", "best_row"))):
             if h != held:
                 rows += close()
-                held, chains = h, []
+                held, owned, chains = h, bucket, []
             best = (-cp, doc is None, doc or 0, chunk, row)
             for link in chains:
                 if link[0] == norm:
@@ -158,22 +171,46 @@ def _own(batches):
         yield out(rows)
 
 
-def duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """A row per row of docs: doc_id, th, keep_id, group_size, kept, text_sha256."""
+def indexed(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OWNER_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows, the directory (p, bucket, owner: at most 2 ** MOST_BITS rows; p are as many leading bits as the directory is deep) and the index, all written to the shared folder."""
     spark = docs.sparkSession
     rows = written(by_batch(id_text(docs), _chunk, _ROWS, lambda: [0]), "exact-rows")
     entries = rows.where("norm IS NOT NULL")
-    d = directory_of(entries, capacity)
-    lookup = spark.createDataFrame([(i, int(x)) for i, x in enumerate(d.entries())], "p long, bucket long")  # at most 2 ** MOST_BITS rows
-    placed = entries.withColumn("p", F.shiftrightunsigned("h", 64 - d.depth) if d.depth else F.lit(0).cast("long")).join(F.broadcast(lookup), "p")
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owned = placed.repartition(owners, "bucket").sortWithinPartitions("bucket", "h").select("h", "norm", "chunk", "slot", "n", "best_cp", "best_id", "best_row")
-    index = written(owned.mapInArrow(_own, _ENTRIES), "exact-index")
-    return rows.select("doc_id", "th", "chunk", "slot", "row", "sha").join(index, ["chunk", "slot"]).select(
+    d, sizes = directory_of(entries, capacity)
+    owner = d.owners(sizes, int(spark.conf.get("spark.sql.shuffle.partitions")), owner_bytes)
+    lookup = [(i, int(x), int(o)) for i, (x, o) in enumerate(zip(d.entries(), owner))]
+    directory = written(spark.createDataFrame(lookup, "p long, bucket long, owner long").coalesce(1), "exact-directory")
+    placed = entries.withColumn("p", _leading(d.depth)).join(F.broadcast(directory), "p")
+    owned = placed.repartitionByRange(int(owner.max()) + 1, "owner").sortWithinPartitions("bucket", "h").select("bucket", "h", "norm", "chunk", "slot", "n", "best_cp", "best_id", "best_row")
+    return rows, directory, written(owned.mapInArrow(_own, _ENTRIES), "exact-index")
+
+
+def _leading(depth: int):
+    return F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def duplicates(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OWNER_BYTES) -> DataFrame:
+    """A row per row of docs: doc_id, th, keep_id, group_size, kept, text_sha256."""
+    rows, _, index = indexed(docs, capacity, owner_bytes)
+    return rows.select("doc_id", "th", "chunk", "slot", "row", "sha").join(index.drop("bucket", "h"), ["chunk", "slot"]).select(
         "doc_id", "th", "keep_id", "group_size", ((F.col("chunk") == F.col("keep_chunk")) & (F.col("row") == F.col("keep_row"))).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
+def probe(docs: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """doc_id, keep_id (null where the index has no equal text) of new docs against what indexed() gave: the bucket by the directory, the chain by hash, then the bytes."""
+    rows, directory, index = built
+    depth = directory.count().bit_length() - 1
+    asked = by_batch(id_text(docs), _chunk, _ROWS, lambda: [0])
+    lead = asked.where("norm IS NOT NULL").withColumn("p", _leading(depth)).join(F.broadcast(directory.select("p", "bucket")), "p").select("bucket", "h", "norm", "chunk", "slot")
+    # A group's first entry stands for it, so that a hot group is one row.
+    chain = index.groupBy("bucket", "h", "keep_chunk", "keep_row", "keep_id").agg(F.min(F.struct("chunk", "slot")).alias("e")).select("bucket", "h", "keep_id", "e.chunk", "e.slot")
+    own = rows.where("norm IS NOT NULL").select("chunk", "slot", F.col("norm").alias("own"))
+    chain = chain.join(own, ["chunk", "slot"]).drop("chunk", "slot")
+    found = lead.join(chain, ["bucket", "h"]).where("norm = own").select("chunk", "slot", "keep_id")
+    return asked.select("doc_id", "chunk", "slot").join(found, ["chunk", "slot"], "left").select("doc_id", "keep_id")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they are."""
     named = duplicates(docs).groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))

@@ -41,10 +41,12 @@ def test_empty(empty):
 def test_collisions_are_told_by_bytes():
     import pyarrow as pa
 
-    rows = [(7, b"a", 0, 0, 2, 1, 5, 0), (7, b"b", 0, 1, 1, 1, 6, 1), (7, b"a", 1, 0, 1, 3, 9, 0), (8, b"c", 1, 1, 1, 1, 2, 1)]
-    names = ["h", "norm", "chunk", "slot", "n", "best_cp", "best_id", "best_row"]
+    rows = [(3, 7, b"a", 0, 0, 2, 1, 5, 0), (3, 7, b"b", 0, 1, 1, 1, 6, 1), (3, 7, b"a", 1, 0, 1, 3, 9, 0), (4, 8, b"c", 1, 1, 1, 1, 2, 1)]
+    names = ["bucket", "h", "norm", "chunk", "slot", "n", "best_cp", "best_id", "best_row"]
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 2])], names) for i in (0, 2)]
-    got = {(r["chunk"], r["slot"]): (r["keep_id"], r["group_size"]) for b in exact._own(iter(batches)) for r in b.to_pylist()}
+    found = [r for b in exact._own(iter(batches)) for r in b.to_pylist()]
+    assert {(r["bucket"], r["h"]) for r in found} == {(3, 7), (4, 8)}
+    got = {(r["chunk"], r["slot"]): (r["keep_id"], r["group_size"]) for r in found}
     assert got == {(0, 0): (9, 3), (1, 0): (9, 3), (0, 1): (6, 1), (1, 1): (2, 1)}
 
 
@@ -59,3 +61,34 @@ def test_directory():
     for p, depth in d.buckets:
         assert counts[p << (4 - depth) : (p + 1) << (4 - depth)].sum() <= 6 or depth == 4
     assert exact.Directory(100).entries().tolist() == [0]
+
+
+def test_owners_are_key_ranges_of_like_size():
+    rng = np.random.default_rng(3)
+    counts, sizes = rng.integers(0, 20, 64), rng.integers(0, 5000, 64)
+    d = exact.Directory(capacity=15)
+    d.grow(counts)
+    owner = d.owners(sizes, 4, 20_000)
+    entries = d.entries()
+    assert (np.diff(owner) >= 0).all() and owner[0] == 0 and (np.diff(owner) <= 1).all()
+    assert all(len(set(owner[entries == x])) == 1 for x in set(entries))
+    held = np.bincount(owner, np.add.reduceat(sizes, np.arange(0, 64, 64 >> d.depth)))
+    assert len(held) > 4 and held.max() <= 20_000 + np.add.reduceat(sizes, np.unique(entries) << (6 - d.depth)).max()
+    assert exact.Directory().owners(np.zeros(4096, np.int64), 8).tolist() == [0]
+
+
+def test_index_on_shared_files(spark, documents, texts):
+    """Files hold key ranges; later documents are probed against them."""
+    from pyspark.sql import functions as F
+
+    built = exact.indexed(documents, capacity=4, owner_bytes=50_000)
+    _, directory, index = built
+    n = directory.count()
+    assert n & (n - 1) == 0 and n > 16
+    ranges = index.groupBy(F.input_file_name().alias("f")).agg(F.min(F.shiftrightunsigned("h", 1)).alias("a"), F.max(F.shiftrightunsigned("h", 1)).alias("b")).orderBy("a").collect()
+    assert len(ranges) > 3 and all(x["b"] < y["a"] for x, y in zip(ranges, ranges[1:]))
+    some = list(texts.items())[:40]
+    new = [(1_000_000 + d, f" {t}\n" if d % 2 else t) for d, t in some] + [(5, "in no document at all"), (6, None), (None, some[0][1])]
+    got = {r["doc_id"]: r["keep_id"] for r in exact.probe(spark.createDataFrame(new, "doc_id long, text string"), built).collect()}
+    keep = {r["doc_id"]: r["keep_id"] for r in exact.duplicates(documents).collect()}
+    assert got == {**{1_000_000 + d: keep[d] for d, _ in some}, 5: None, 6: next((keep[d] for d, t in texts.items() if not (t or "").strip()), None), None: keep[some[0][0]]}
