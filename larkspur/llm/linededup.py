@@ -2,7 +2,9 @@
 
 A line's id is the place of its first copy; equal lines are told by 128 bits of hash. Doubling names, for each power of
 two, the suffixes that share so many lines: a rank table holds each such suffix with the first place of its group, and
-lines or runs without a second copy leave the tables. The suffixes that share their first l lines are the interval of
+lines or runs without a second copy leave the tables. A name is the first place of its group in place of the group's
+rank among all suffixes: equality of names is all that doubling asks, and intervals are groups of equal names, so the
+order of the suffix array between groups, which no deletion hangs on, is never worked out. The suffixes that share their first l lines are the interval of
 the suffix array with longest common prefix l. A descent from the longest power refines these intervals: a suffix that
 is not the first of its refined interval moves on with it, as its lines were seen before; the first stays behind, and
 stands for its interval there, as all others of it would part with the rest at the same line. So each suffix ends with
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import by_batch, drop_written, id_text, table, written
 
 MIN_WORDS = 20
-_LAST = (1 << 63) - 1
+_LAST, _AFTER = (1 << 63) - 1, 1 << 62  # of null ids: after the highest id, whose own rows come first
 
 
 def line_ids(rows: DataFrame) -> DataFrame:
@@ -82,10 +84,9 @@ def seen_before(levels: list[DataFrame]) -> list[DataFrame]:
         down = y.where("n > 1").select("p", F.col("f").alias("g"), (F.col("l") + step).alias("l"))
         stay = x.where("sub IS NULL").select("p", "g", "l").union(y.where("p = f").select("p", "g", "l"))
         inner = stay.where("l > 0")
-        many = inner.groupBy("g", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        state = down.union(stay.where("l = 0")).union(inner.join(many, ["g", "l"], "left_semi").select("p", "g", "l"))
+        many = written(inner.groupBy("g", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-many") if k else None
         if k:
-            state = written(state, "lines-state")
+            state = written(down.union(stay.where("l = 0")).union(inner.join(many, ["g", "l"], "left_semi").select("p", "g", "l")), "lines-state")
     return out
 
 
@@ -110,7 +111,7 @@ def without(text: str, runs: list[tuple[int, int]], min_words: int = MIN_WORDS)
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (null as empty, later copies of repeated runs deleted), n_lines, n_deleted."""
-    rows = written(id_text(docs).select(F.monotonically_increasing_id().alias("u"), F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "text"), "lines-docs")
+    rows = written(id_text(docs).select((F.monotonically_increasing_id() + F.when(F.col("doc_id").isNull(), F.lit(_AFTER)).otherwise(0)).alias("u"), F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "text"), "lines-docs")
     levels = ranks(written(line_ids(rows), "lines"))
     found = seen_before(levels) if levels else []
     if found:

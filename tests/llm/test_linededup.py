@@ -52,3 +52,11 @@ def test_query_deletes_short_later_copies(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in linededup.op2(spark, str(tmp_path)).collect()}
     assert got == {1: docs[0][1], 2: "three", 3: "four"}
+
+
+def test_null_ids_come_last(spark):
+    """Even after the highest id, and whatever the order of the rows."""
+    docs = [(None, "a b\nc d"), (2**63 - 1, "a b\nc d"), (None, "a b\nx")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"], r["text"]) for r in linededup.line_dedup(df, 1).collect()), key=repr)
+    assert got == sorted([(2**63 - 1, docs[1][1]), (None, ""), (None, "x")], key=repr)
