@@ -1,7 +1,8 @@
 """Personal data by candidate gradient boosting.
 
 Generators of high recall propose spans, which may overlap: strings about an @, dotted and separated digits, account
-numbers, hexadecimal addresses, values that are assigned to a name. Boosted trees judge each by its format and its
+numbers, hexadecimal addresses, values that are assigned to a name, words after a spoken name of a secret, long runs of
+letters and digits. Boosted trees judge each by its format and its
 context; they are trained on made-up texts with a fixed seed, and a threshold for each kind is set on texts that the
 trees did not see, at PRECISION. Of overlapping spans the likelier stays. What the base patterns find always stays and
 is never overlapped.
@@ -12,6 +13,7 @@ have the same spans; an empty table gives an empty table; other columns of the i
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -27,11 +29,11 @@ Span = tuple[str, int, int]
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ipv6", "secret", "ssn")
-SEED, EXAMPLES, PRECISION = 7, 6000, 0.98
+SEED, EXAMPLES, PRECISION = 7, 9000, 0.98
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_digit = re.compile("[0-9]")
+_digit, _letter = re.compile("[0-9]"), re.compile("[A-Za-z]")
 # A match that fails from the first digit of a run fails from the others too, so it is tried from the first alone.
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -82,6 +84,8 @@ _generators: tuple[tuple[str, str, re.Pattern], ...] = (
     ("ssn", "-", re.compile(r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])")),
 )
 _assigned = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.\-]{12,200})")
+_named = re.compile(r"(?<![A-Za-z])(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|credentials?)\x20{0,2}(?:is|was|are|:|=|->)?\s{1,3}[\"'`]?([^\s\"'`<>,;]{5,200})")
+_run = re.compile(r"[A-Za-z0-9_\-]{16,200}")
 _hint = {
     "email": re.compile(r"mail|contact|@|write|from|to\b", re.I),
     "ip": re.compile(r"\bip\b|host|addr|server|login|from", re.I),
@@ -92,7 +96,8 @@ _hint = {
     "secret": re.compile(r"token|secret|passw|key|auth|bearer|credential", re.I),
     "ssn": re.compile(r"ssn|social|security", re.I),
 }
-_against = re.compile(r"version|isbn|order|invoice|price|page|section|serial|build|release|doi|http|part|item|total|€|\$|[vV]\.?\s?$", re.I)
+_naming = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|key|credentials?)[\"']?\s{0,3}(?:is|was|are|:|=|->)?\s{0,3}[\"'`]?$", re.I)
+_against = re.compile(r"version|isbn|commit|sha|checksum|uuid|order|invoice|price|page|section|serial|build|release|doi|http|part|item|total|€|\$|[vV]\.?\s?$", re.I)
 
 
 def candidates(text: str) -> list[Span]:
@@ -103,7 +108,14 @@ def candidates(text: str) -> list[Span]:
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
     if "=" in text or ":" in text:
         out += [("secret", *m.span(1)) for m in _assigned.finditer(text)]
-    return out
+    for m in _named.finditer(text):
+        a, b = m.span(1)
+        while text[b - 1] in ".!?)" and b - a > 5:
+            b -= 1
+        out.append(("secret", a, b))
+    if digits:
+        out += [("secret", *m.span()) for m in _run.finditer(text) if _digit.search(m[0]) and _letter.search(m[0])]
+    return sorted(set(out))
 
 
 def _side(c: str) -> int:
@@ -131,6 +143,7 @@ def features(text: str, span: Span) -> list[float]:
         len(set(s)) / len(s), float(all(c in "0123456789abcdefABCDEF" for c in s)),
         float(kind in ("ip", "secret") and all(x.strip().isdigit() and int(x) <= 255 for x in s.split("."))),
         float(kind == "iban" and mod97(s)), float("." in host.strip(".")), float(letters > 0 and len(digits) > 0),
+        float(bool(_naming.search(before))), float(s.count("-") + s.count("_") + s.count(".") + s.count("/")), sum(c.isupper() for c in s) / len(s), float(len(re.findall("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])", s))),
         float(bool(re.fullmatch(r"(19|20)[0-9]{2}[-./ ][0-9]{2}[-./ ][0-9]{2}.*|[0-9]{2}[-./ ][0-9]{2}[-./ ](19|20)[0-9]{2}.*", s))),
     ]
 
@@ -143,6 +156,9 @@ def made_up(seed: int = SEED, n: int = EXAMPLES) -> list[tuple[str, Span, bool]]
     word = lambda: "".join(pick(("ba", "ne", "ri", "to", "lu", "en", "st", "ar", "or", "chi")) for _ in range(int(rng.integers(1, 5))))
     hexa = lambda k: "".join(pick("0123456789abcdef") for _ in range(k))
 
+    mixed = lambda k: "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    spoken = lambda: pick((word() + num(1) + word(), word() + num(3), word().title() + pick("!#$%_") + num(2), word() + "-" + word() + num(2), mixed(9)))
+
     def card() -> str:
         d = num(15)
         return next(d + str(x) for x in range(10) if luhn(d + str(x)))
@@ -158,12 +174,12 @@ def made_up(seed: int = SEED, n: int = EXAMPLES) -> list[tuple[str, Span, bool]]
         "phone": lambda: pick((f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(6)}", f"00{num(2)} {num(3)} {num(3)} {num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(4)}/{num(7)}")),
         "iban": lambda: (lambda c: pick((c, " ".join(c[i : i + 4] for i in range(0, len(c), 4)))))(iban()),
         "ipv6": lambda: ":".join(hexa(4) for _ in range(8)) if rng.random() < 0.6 else f"{hexa(4)}:{hexa(4)}::{hexa(4)}",
-        "secret": lambda: pick((hexa(40), hexa(32), "sk_live_" + hexa(24), hexa(20).upper() + hexa(12))),
+        "secret": lambda: pick((hexa(40), hexa(32), "sk_live_" + hexa(24), hexa(20).upper() + hexa(12), spoken(), spoken(), "AKIA" + mixed(16).upper(), "ghp_" + mixed(36), "AIza" + mixed(35), mixed(24))),
         "ssn": lambda: f"{num(3)}-{num(2)}-{num(4)}",
     }
     lead = {
         "email": ("mail ", "contact: ", "", "write to "), "ip": ("host ", "login from ", "ip ", ""), "card": ("card ", "visa ", "credit card: ", ""), "phone": ("phone ", "call ", "tel. ", "mobile: "),
-        "iban": ("IBAN ", "account ", "bank: ", ""), "ipv6": ("host ", "addr ", "ip "), "secret": ("token = ", 'secret: "', "api_key=", 'password = "'), "ssn": ("SSN ", "social security number ", "ssn: "),
+        "iban": ("IBAN ", "account ", "bank: ", ""), "ipv6": ("host ", "addr ", "ip "), "secret": ("token = ", 'secret: "', "api_key=", 'password = "', "my password is ", "the token was ", "Password: ", "access key ", ""), "ssn": ("SSN ", "social security number ", "ssn: "),
     }
     no = {
         "email": lambda: (pick(("", "see ")), pick((f"{word()}@{word()}", f"@{word()}@{word()}", f"!!@{word()}", f"{num(2)}@{num(2)}"))),
@@ -172,7 +188,11 @@ def made_up(seed: int = SEED, n: int = EXAMPLES) -> list[tuple[str, Span, bool]]
         "phone": lambda: (pick(("order ", "total ", "", "page ", "in ", "$")), pick((num(7), num(10), f"{num(3)} {num(3)} {num(3)}", f"20{num(2)}-{pick(('01', '10'))}-{num(2)}", f"{num(2)}.{num(2)}.20{num(2)}", f"{num(4)}.{num(4)}", f"{num(1)} {num(2)} {num(3)} {num(4)}", f"19{num(2)}-20{num(2)}"))),
         "iban": lambda: (pick(("", "part ")), pick(("AB", "XX", "NO")) + num(2) + "".join(pick("ABCDEF0123456789") for _ in range(int(rng.integers(11, 25))))),
         "ipv6": lambda: (pick(("at ", "")), pick((f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)}:{num(2)}:{num(2)}"))),
-        "secret": lambda: (pick(("name: ", "see: ", "x = ", "title: ", "src: ")), pick((word() + word() + word() + word(), f"{word()}-{word()}-{word()}-x", "/".join(word() for _ in range(4)), num(12)))),
+        "secret": lambda: pick((
+            (pick(("name: ", "see: ", "x = ", "title: ", "src: ")), pick((word() + word() + word() + word(), f"{word()}-{word()}-{word()}-x", "/".join(word() for _ in range(4)), num(12)))),
+            (pick(("the password is ", "a token ", "password was ", "the secret ", "secret is ", "token is ")), pick((word() + word(), "required", "needed " + word(), "strong", "called", "always", "missing", "valid"))),
+            (pick(("see ", "", "page ", "commit ", "sha1 ", "uuid ")), pick((f"{word()}-{word()}-{num(4)}-{word()}", f"{word()}_{word()}_{word()}_{num(1)}", hexa(40), f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", f"{word()}{word()}{word()}{word()}{word()}1"))),
+        )),
         "ssn": lambda: (pick(("part ", "order ", "")), f"{num(3)}-{num(2)}-{num(4)}"),
     }
     out = []
@@ -187,6 +207,25 @@ def made_up(seed: int = SEED, n: int = EXAMPLES) -> list[tuple[str, Span, bool]]
     return out
 
 
+class Apart:
+    """Intervals that don't overlap, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+    def join(self, a: int, b: int) -> None:
+        """Adds an interval; it becomes one with those that it overlaps."""
+        lo, hi = bisect.bisect_right(self.ends, a), bisect.bisect_left(self.starts, b)
+        if lo < hi:
+            a, b = min(a, self.starts[lo]), max(b, self.ends[hi - 1])
+        self.starts[lo:hi], self.ends[lo:hi] = [a], [b]
+
+
 class Judge:
     """The trees and, for each kind, the threshold."""
 
@@ -207,15 +246,18 @@ class Judge:
 
     def chosen(self, text: str, base: list[Span]) -> list[Span]:
         """Spans besides the base ones."""
-        taken = [(a, b) for _, a, b in base]
-        found = [c for c in candidates(text) if not any(c[1] < b and c[2] > a for a, b in taken)]
+        taken = Apart()
+        for _, a, b in sorted(base, key=lambda s: s[1:]):
+            taken.join(a, b)
+        found = [c for c in candidates(text) if taken.free(c[1], c[2])]
         if not found:
             return []
         p = self.trees.predict(np.array([features(text, c) for c in found]))
         out: list[Span] = []
         for i in np.argsort(-p, kind="stable"):
             kind, a, b = found[i]
-            if p[i] >= self.least[kind] and not any(a < d and b > c for _, c, d in out):
+            if p[i] >= self.least[kind] and taken.free(a, b):
+                taken.join(a, b)
                 out.append(found[i])
         return out
 
