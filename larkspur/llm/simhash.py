@@ -30,6 +30,8 @@ WORDS, SEED, RADIUS, SEGMENTS, TILE = 3, 42, 2, 4, 4096
 #: Of groups by similarity: five words, 0.8; 4 x 64 bits. Sets of similarity 0.8 differ in 39 bits of 256 on average, with
 #: a deviation of 6; other texts in 128, with a deviation of 8. Of the first 64 bits the like differ in 10, deviation 3.
 SIMILAR_WORDS, SIMILAR, WIDE, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 4, 68, 22
+#: Sets of up to FEW shingles differ in more: by exact binomials in 48 bits, deviation 6, where 4 and 5 of them are nested.
+FEW, FEW_RADIUS, FEW_FIRST = 24, 84, 31
 SIMILAR_TILE, BUNDLE, SET_TILE = 2048, 16, 256
 _CHUNK = 1 << 15
 
@@ -107,12 +109,16 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
     return found
 
 
+def _few(df: DataFrame, most: int = 100_000) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, tile: int = TILE) -> DataFrame:
     """u, v: fingerprints at most radius bits apart, as many as connect the same. fps: distinct fingerprints (fp)."""
     base = 64 // segments + 1
     celled = fps.withColumn("cell", _cell(segments))
     # At most base ** segments cells exist, however many fingerprints there are: a bounded broadcast.
-    counts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
+    counts = written(celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts")), "simhash-cells")
     tiles = (
         celled.join(F.broadcast(counts), "cell")
         .select("cell", F.pmod(F.xxhash64("fp"), "parts").alias("part"), "fp")
@@ -121,9 +127,11 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, tile:
     )
     tiles = written(tiles, "simhash-tiles")
     steps = [sum(x * base**k for k, x in enumerate(s)) for s in _steps(segments, radius)]
-    a = tiles.withColumn("cell_b", F.explode(F.array(*[F.col("cell") + s for s in steps])))
-    b = tiles.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("fps").alias("fps_b"))
-    pairs = a.join(b, "cell_b").where("cell <> cell_b OR part <= part_b").select(F.expr("cell = cell_b AND part = part_b").alias("same"), "fps", "fps_b")
+    # A tile goes to each bundle of BUNDLE tiles that it may have links to, so that a cell of any size is many tasks' work.
+    bundles = counts.select(F.col("cell").alias("cell_b"), F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / BUNDLE))).alias("bundle"))
+    a = tiles.withColumn("cell_b", F.explode(F.array(*[F.col("cell") + s for s in steps]))).join(F.broadcast(bundles) if _few(bundles) else bundles, "cell_b")
+    b = tiles.select(F.col("cell").alias("cell_b"), F.floor(F.col("part") / BUNDLE).alias("bundle"), F.col("part").alias("part_b"), F.col("fps").alias("fps_b"))
+    pairs = a.join(b, ["cell_b", "bundle"]).where("cell <> cell_b OR part <= part_b").select(F.expr("cell = cell_b AND part = part_b").alias("same"), "fps", "fps_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -191,14 +199,14 @@ def wide_fingerprint(hashes: np.ndarray, width: int = WIDE) -> list[int]:
     return out
 
 
-def tightest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+def tightest(a: np.ndarray, b: np.ndarray | None, radius: int, first: int = FIRST_RADIUS) -> list[tuple[int, int]]:
     """Links within the radius that form a minimum spanning forest of the rows (places in a, then in b) that have any between a and b (None: within a)."""
     other = a if b is None else b
     near_a, near_b = np.zeros(len(a), bool), np.zeros(len(other), bool)
     block = max(1, (1 << 19) // max(1, len(other)))
     for at in range(0, len(a), block):
         # The first 64 bits settle most pairs: their distance is at most that of all bits.
-        i, j = np.nonzero(np.bitwise_count(a[at : at + block, None, 0] ^ other[None, :, 0]) <= FIRST_RADIUS)
+        i, j = np.nonzero(np.bitwise_count(a[at : at + block, None, 0] ^ other[None, :, 0]) <= first)
         i += at
         if b is None:
             i, j = i[j > i], j[j > i]
@@ -324,22 +332,25 @@ def similar_links(docs: DataFrame, marked: DataFrame, words: int, least: float,
     tiles = written(tiles, "similar-tiles")
     # A tile goes to each bundle of BUNDLE tiles that it may have links to, so that a class of any size is many tasks' work.
     bundles = counts.select(F.col("cell").alias("cell_b"), F.col("ones").alias("ones_b"), F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / BUNDLE))).alias("bundle"))
-    apart = f"(greatest(ones, ones_b) - least(ones, ones_b) - 1) * 32 < {radius}"
+    few = int(np.floor(np.log(FEW) / np.log(base)))  # the class of size up to which the wider radius holds
+    reach = f"CASE WHEN cell <= {few} THEN greatest({radius}, {FEW_RADIUS}) ELSE {radius} END"
+    apart = f"(greatest(ones, ones_b) - least(ones, ones_b) - 1) * 32 < {reach}"
     a = tiles.withColumn("cell_b", F.explode(F.array(F.col("cell"), F.col("cell") + 1))).join(bundles, "cell_b").where(apart)
     b = tiles.select(
         F.col("cell").alias("cell_b"), F.col("ones").alias("ones_b"), F.floor(F.col("part") / BUNDLE).alias("bundle"), F.col("part").alias("part_b"), F.col("uids").alias("uids_b"), F.col("ws").alias("ws_b")
     )
     once = "(cell <> cell_b OR (ones, part) <= (ones_b, part_b))"
     same = F.expr("cell = cell_b AND ones = ones_b AND part = part_b")
-    pairs = a.join(b, ["cell_b", "ones_b", "bundle"]).where(once).select(same.alias("same"), "uids", "ws", "uids_b", "ws_b")
+    pairs = a.join(b, ["cell_b", "ones_b", "bundle"]).where(once).select(same.alias("same"), F.expr(f"cell <= {few}").alias("few"), "uids", "ws", "uids_b", "ws_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         u, v = [], []
         values = lambda name, i: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-        for i, same in enumerate(batch.column("same").to_pylist()):
+        for i, (same, short) in enumerate(zip(batch.column("same").to_pylist(), batch.column("few").to_pylist())):
             ids = values("uids", i) if same else np.concatenate([values("uids", i), values("uids_b", i)])
             x = values("ws", i).view(np.uint64).reshape(-1, WIDE)
-            for p, q in tightest(x, None if same else values("ws_b", i).view(np.uint64).reshape(-1, WIDE), radius):
+            reach = (max(radius, FEW_RADIUS), max(FIRST_RADIUS, FEW_FIRST)) if short else (radius, FIRST_RADIUS)
+            for p, q in tightest(x, None if same else values("ws_b", i).view(np.uint64).reshape(-1, WIDE), *reach):
                 u.append(min(ids[p], ids[q]))
                 v.append(max(ids[p], ids[q]))
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
