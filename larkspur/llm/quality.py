@@ -1,8 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of the byte 1- to 3-grams of a whole text, hashed to 2 ** BITS places, and of its runs of one word (two to
-nine words, the n-grams whose words are all alike, whatever the word) are scaled by the log ratio of their
-rates in the two classes. The rates are counted over all labelled rows; a linear hinge-loss model is then fitted by
+Indicators of the byte 1- to 3-grams of a whole text, in which a word that the same word follows is written as one sign
+(SAME), hashed to 2 ** BITS places, are scaled by the log ratio of their rates in the two classes. The rates are counted over all labelled rows; a linear hinge-loss model is then fitted by
 dual coordinate descent on about SAMPLE rows of each class, chosen by a hash of their id, and a logistic curve, fitted
 on the sampled rows that the model did not see, turns its margins to scores.
 
@@ -13,6 +12,8 @@ class's share or 0.5; an empty table gives an empty table; other columns of the
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,11 @@ from larkspur.llm.common import by_batch, crc_column, crc_text, id_text, table,
 from larkspur.llm.rows import sifted
 
 BITS, SAMPLE, SMOOTH, COST, EPOCHS = 18, 1500, 1.0, 1.0, 20
+SAMPLE_BYTES = 64 << 20  # of the sample's places; rows beyond it, by the hash of their ids, are left out of the sample
 FOLDS, HELD = 3, 1
 _SIZE = 1 << BITS
-_RUNS, LONGEST_RUN = 256 + (1 << 15), 8
+SAME = "\x01"
+_again = re.compile(r"(?<!\S)(\S++)(?=\s++\1(?!\S))")
 
 
 class Grams:
@@ -34,7 +37,7 @@ class Grams:
         self.flag = np.zeros(_SIZE, bool)
 
     def __call__(self, text: str) -> np.ndarray:
-        b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        b = np.frombuffer(_again.sub(SAME, text).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
         if not len(b):
             return np.zeros(0, np.int64)
         two = b[:-1] << 8 | b[1:]
@@ -42,10 +45,6 @@ class Grams:
         self.flag[b] = True
         self.flag[256 + (two * np.uint32(2654435761) >> np.uint32(32 - 15))] = True
         self.flag[_SIZE // 2 + (three * np.uint32(2654435761) >> np.uint32(32 - (BITS - 1)))] = True
-        words = text.split()
-        same = np.flatnonzero([a != b for a, b in zip(words, words[1:])])
-        run = int(np.diff(np.concatenate([[-1], same, [len(words) - 1]])).max()) - 1 if len(words) > 1 else 0
-        self.flag[_RUNS : _RUNS + min(run, LONGEST_RUN)] = True
         at = np.flatnonzero(self.flag)
         self.flag[at] = False
         return at
@@ -128,7 +127,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     def places(batch: pa.RecordBatch, grams: Grams) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([grams(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "y", "places"])
 
-    rows = by_batch(chosen.select("doc_id", "text", "y"), places, "doc_id long, y int, places binary", Grams).collect()  # about 2 * sample rows
+    # About 2 * sample rows; of SAMPLE_BYTES at most, as a hash thins them out where texts are very long.
+    held = written(by_batch(chosen.select("doc_id", "text", "y"), places, "doc_id long, y int, places binary", Grams), "quality-sample")
+    size = held.agg(F.sum(F.length("places"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        held = held.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < int(900_000 * SAMPLE_BYTES / size))
+    rows = held.collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["places"]))
     at = [np.frombuffer(r["places"], "<i4") for r in rows]
     x = [(p, ratio[p] / np.sqrt(max(len(p), 1))) for p in at]
