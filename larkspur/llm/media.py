@@ -3,6 +3,8 @@
 One Aho-Corasick pass over the bytes locates every magic number; the validator of its format then walks the structure
 and confirms the lengths it gives, so that a chance hit in text counts for nothing. What is valid at the start corrects
 the declared type; what is valid further on, and not inside another carved find, is carved, from inside the first file too.
+What formats keep at their ends (directories of archives, cross references, ends of frames) is looked up once for a blob,
+so that time stays in proportion to its bytes however many magic numbers it has.
 
 Defined results: null and empty media have type None and no finds; bytes that no validator confirms keep no type
 (media_type null) and their declared type stays uncorrected; of finds at one place the longest counts; repeated rows
@@ -12,6 +14,7 @@ sniff alike; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -22,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import by_batch, id_text, table
+from larkspur.llm.common import by_batch, id_text, table, written
 
 UNIT, RATE = 192, 8000
 
 
-def _png(b: memoryview, at: int) -> int:
+def _png(b: memoryview, at: int, seen: dict) -> int:
     i, first = at + 8, True
     while i + 12 <= len(b):
         n = int.from_bytes(b[i : i + 4], "big")
@@ -40,7 +43,7 @@ def _png(b: memoryview, at: int) -> int:
     return 0
 
 
-def _gif(b: memoryview, at: int) -> int:
+def _gif(b: memoryview, at: int, seen: dict) -> int:
     if at + 13 > len(b):
         return 0
     i = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
@@ -62,7 +65,7 @@ def _gif(b: memoryview, at: int) -> int:
     return 0
 
 
-def _jpeg(b: memoryview, at: int) -> int:
+def _jpeg(b: memoryview, at: int, seen: dict) -> int:
     i, scan = at + 2, False
     while i + 2 <= len(b):
         if b[i] != 0xFF:
@@ -89,7 +92,7 @@ def _jpeg(b: memoryview, at: int) -> int:
     return 0
 
 
-def _bmp(b: memoryview, at: int) -> int:
+def _bmp(b: memoryview, at: int, seen: dict) -> int:
     if at + 30 > len(b):
         return 0
     n, zero, data, header = struct.unpack_from("<IIII", b, at + 2)
@@ -97,8 +100,8 @@ def _bmp(b: memoryview, at: int) -> int:
     return n if not zero and header in (40, 52, 56, 108, 124) and 14 + header <= data <= n <= len(b) - at and planes == 1 and bits in (1, 4, 8, 16, 24, 32) else 0
 
 
-def _riff(kind: bytes) -> Callable[[memoryview, int], int]:
-    def valid(b: memoryview, at: int) -> int:
+def _riff(kind: bytes) -> Callable[[memoryview, int, dict], int]:
+    def valid(b: memoryview, at: int, seen: dict) -> int:
         if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) != kind:
             return 0
         end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
@@ -113,7 +116,7 @@ def _riff(kind: bytes) -> Callable[[memoryview, int], int]:
     return valid
 
 
-def _gzip(b: memoryview, at: int) -> int:
+def _gzip(b: memoryview, at: int, seen: dict) -> int:
     d = zlib.decompressobj(31)
     try:
         i = at
@@ -125,29 +128,42 @@ def _gzip(b: memoryview, at: int) -> int:
     return min(i, len(b)) - len(d.unused_data) - at if d.eof else 0
 
 
-def _zip(b: memoryview, at: int) -> int:
-    if at + 30 > len(b) or b[at + 4] > 63:
+def _zip(b: memoryview, at: int, seen: dict) -> int:
+    """By the end records, each of which says where its archive starts."""
+    if "zip" not in seen:
+        ends, data = {}, b.obj
+        e = data.find(b"PK\x05\x06")
+        while e >= 0:
+            if e + 22 <= len(data):
+                size, start, note = struct.unpack_from("<IIH", data, e + 12)
+                first = e - size - start
+                if first >= 0 and data[e - size : e - size + 4] == b"PK\x01\x02" and e + 22 + note <= len(data):
+                    ends.setdefault(first, e + 22 + note)
+            e = data.find(b"PK\x05\x06", e + 4)
+        seen["zip"] = ends
+    return seen["zip"].get(at, at) - at
+
+
+def _pdf(b: memoryview, at: int, seen: dict) -> int:
+    """To the last end mark whose startxref points, from this start, to cross references."""
+    if not bytes(b[at + 5 : at + 6]).isdigit():
         return 0
-    whole = bytes(b[at:])
-    end = whole.find(b"PK\x05\x06")
-    while end >= 0:
-        if end + 22 <= len(whole):
-            size, start, note = struct.unpack_from("<IIH", whole, end + 12)
-            if start + size == end and whole[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(whole):
-                return end + 22 + note
-        end = whole.find(b"PK\x05\x06", end + 4)
-    return 0
+    if "pdf" not in seen:
+        found = [(m.start(), min(int(m[1]), len(b)), m.end()) for m in _pdf_end.finditer(b.obj)]
+        target = np.zeros(2 * len(b) + 1, bool)
+        target[[m.start(1) for m in _pdf_target.finditer(b.obj)]] = True
+        seen["pdf"] = (*(np.array([x[k] for x in found], np.int64) for k in range(3)), target)
+    place, offset, end, target = seen["pdf"]
+    k = int(np.searchsorted(place, at))
+    good = np.flatnonzero(target[at + offset[k:]] & (at + offset[k:] < place[k:]))
+    return int(end[k + good[-1]]) - at if len(good) else 0
 
 
-def _pdf(b: memoryview, at: int) -> int:
-    whole = bytes(b[at:])
-    if not whole[5:6].isdigit() or b"startxref" not in whole:
-        return 0
-    end = whole.rfind(b"%%EOF")
-    return end + 5 if end > whole.find(b"startxref") else 0
+_pdf_end = re.compile(rb"startxref\s{1,4}([0-9]{1,12})\s{1,4}%%EOF")
+_pdf_target = re.compile(rb"(?:(?<!start)(?=xref\s)|(?<![0-9])(?=[0-9]{1,10} [0-9]{1,5} obj))()")
 
 
-def _ogg(b: memoryview, at: int) -> int:
+def _ogg(b: memoryview, at: int, seen: dict) -> int:
     i = at
     while i + 27 <= len(b) and bytes(b[i : i + 5]) == b"OggS\0":
         segments = b[i + 26]
@@ -163,11 +179,77 @@ def _ogg(b: memoryview, at: int) -> int:
     return 0
 
 
-def _flac(b: memoryview, at: int) -> int:
-    return len(b) - at if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and int.from_bytes(b[at + 5 : at + 8], "big") == 34 else 0
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> (bits - 1) else 0)) & ((1 << bits) - 1)
+        out.append(x)
+    return out
+
+
+# Fixed values of FLAC: both polynomials, and block sizes by code (0: of the header's own bytes).
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+_FLAC_BLOCKS = [None, 192, 576, 1152, 2304, 4608, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768]
+
+
+def _flac_frame(b: memoryview, i: int) -> int:
+    """Samples of the frame whose header is at i; 0 if none is."""
+    if i + 6 > len(b) or b[i] != 0xFF or b[i + 1] & 0xFE != 0xF8 or b[i + 3] & 1 or b[i + 3] >> 4 > 10:
+        return 0
+    code, rate = b[i + 2] >> 4, b[i + 2] & 15
+    n = _FLAC_BLOCKS[code]
+    lead = 8 - (b[i + 4] ^ 0xFF).bit_length()  # ones that lead the frame's number: its bytes, as in UTF-8
+    if n is None or rate == 15 or lead in (1, 8):
+        return 0
+    j = i + 4 + max(1, lead)
+    extra = {6: 1, 7: 2}.get(code, 0)
+    end = j + extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if end >= len(b):
+        return 0
+    crc = 0
+    for x in b[i:end]:
+        crc = _CRC8[crc ^ x]
+    return (n or int.from_bytes(b[j : j + extra], "big") + 1) if crc == b[end] else 0
+
+
+def _flac(b: memoryview, at: int, seen: dict) -> int:
+    """Metadata blocks, then frames: each ends where its checksum comes out and the next begins, the last at the number of samples told."""
+    i, last = at + 4, 0
+    if i + 38 > len(b) or b[i] & 0x7F or int.from_bytes(b[i + 1 : i + 4], "big") != 34:
+        return 0
+    least = int.from_bytes(b[i + 8 : i + 11], "big")
+    total = int.from_bytes(b[i + 17 : i + 22], "big") & 0xFFFFFFFFF
+    while not last:
+        if i + 4 > len(b) or b[i] & 0x7F == 0x7F:
+            return 0
+        last = b[i] & 0x80
+        i += 4 + int.from_bytes(b[i + 1 : i + 4], "big")
+        if i > len(b):
+            return 0
+    so_far, end = 0, 0
+    while n := _flac_frame(b, i):
+        crc, j, done, first = 0, i, 0, 0
+        for x in b[i : i + 40 * n + 64]:  # no frame is longer: eight channels of at most 33 bits
+            crc = (crc << 8 ^ _CRC16[crc >> 8 ^ x]) & 0xFFFF
+            j += 1
+            if not crc and j - i >= max(least, 8):
+                first = first or j
+                if (total and so_far + n >= total) or _flac_frame(b, j) or j == len(b):
+                    done = j
+                    break
+        done = done or (0 if total else first)  # the number of samples may be left open
+        if not done:
+            break
+        i = end = done
+        so_far += n
+        if total and so_far >= total:
+            break
+    return end - at if end and (not total or so_far >= total) else 0
 
 
-def _mp4(b: memoryview, at: int) -> int:
+def _mp4(b: memoryview, at: int, seen: dict) -> int:
     i, kinds = at, set()
     while i + 8 <= len(b):
         n, kind = int.from_bytes(b[i : i + 4], "big"), bytes(b[i + 4 : i + 8])
@@ -178,8 +260,8 @@ def _mp4(b: memoryview, at: int) -> int:
     return i - at if {b"ftyp", b"moov"} <= kinds else 0
 
 
-#: Type, magic bytes, where they stand in the file, validator (length of a valid file at a place, or 0).
-FORMATS: tuple[tuple[str, bytes, int, Callable[[memoryview, int], int]], ...] = (
+#: Type, magic bytes, where they stand in the file, validator (length of a valid file at a place, or 0; a dict for what is looked up once).
+FORMATS: tuple[tuple[str, bytes, int, Callable[[memoryview, int, dict], int]], ...] = (
     ("image/png", b"\x89PNG\r\n\x1a\n", 0, _png),
     ("image/gif", b"GIF87a", 0, _gif),
     ("image/gif", b"GIF89a", 0, _gif),
@@ -212,12 +294,12 @@ _magic = _build()
 
 def sniff(data: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The type that is valid at the start (it may be followed by other bytes), and (type, offset, length) of media embedded elsewhere."""
-    view, found = memoryview(data), []
+    view, found, seen = memoryview(data), [], {}
     for end, (n, which) in _magic.iter(data.decode("latin-1")):
         for i in which:
             kind, _, before, valid = FORMATS[i]
             at = end - n + 1 - before
-            if at >= 0 and (size := valid(view, at)):
+            if at >= 0 and (size := valid(view, at, seen)):
                 found.append((at, -size, kind))
     found.sort()
     first = next((k for at, _, k in found if at == 0), None)
@@ -278,25 +360,34 @@ def features(payload: bytes) -> str:
     return f"mean={total * 1000 // n};var={(square * n - total * total) * 10 // (n * n)};cross={int((above[1:] != above[:-1]).sum())};hist={'/'.join(map(str, shares))}"
 
 
+def stored_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media: each text as a WAV file, written to the shared folder."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        media = [wav(r + b" " * (-len(r) % UNIT if r else UNIT)) for r in raw]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([*map(len, raw)], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return written(by_batch(id_text(docs), run, "doc_id long, n_bytes long, media binary"), "media-stored")
+
+
 def text_media(docs: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
-    """Each text stored as a WAV file, sniffed, read back and described; declared is the type it comes with."""
+    """Each text stored as a WAV file, read back from there, sniffed and described; declared is the type it comes with."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text in batch.column("text").to_pylist():
-            raw = text.encode("utf-8", "surrogatepass")
-            stored = wav(raw + b" " * (-len(raw) % UNIT if raw else UNIT))
+        for n, stored in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist()):
             kind, embedded = sniff(stored)
             if kind != "audio/wav":
                 raise ValueError(f"stored as audio/wav, found {kind}")
             back = samples(stored)
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back), kind, kind != declared, len(embedded)))
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back), kind, kind != declared, len(embedded)))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean, n_embedded long"
     names = [c.split()[0] for c in schema.split(", ")]
-    return by_batch(id_text(docs), run, schema)
+    return by_batch(stored_texts(docs), run, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
