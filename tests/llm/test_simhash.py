@@ -194,3 +194,39 @@ def test_alike_connects_what_all_pairs_connect():
     assert groups_of(links, 42) == groups_of(near, 42) and len(links) < 42
     across = [(i, j) for i, j in near if (i < 20) != (j < 20)]
     assert groups_of(simhash.alike(sets[:20], sets[20:], kind[:20], kind[20:], 0.8), 42) == groups_of(across, 42)
+
+
+def test_bundles_of_a_hot_cell_lose_no_link(spark, monkeypatch):
+    """All fingerprints in one cell, in more tiles than a bundle holds."""
+    monkeypatch.setattr(simhash, "BUNDLE", 3)
+    rng = np.random.default_rng(5)
+    own = set()
+    while len(own) < 400:
+        ones = np.concatenate([rng.choice(16, 8, replace=False) + 16 * k for k in range(4)])
+        x = int(sum(1 << int(b) for b in ones))
+        own.add(x)
+        if rng.random() < 0.3:  # one bit moved inside its segment: the same cell, two bits apart
+            free = [b for b in range(16) if not x >> b & 1]
+            own.add(x ^ (1 << int(ones[0])) ^ (1 << free[0]))
+    a = np.array(sorted(own), np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp long")
+    assert df.select(simhash._cell(4).alias("c")).distinct().count() == 1
+    edges = simhash.links(df, tile=16)
+    roots = {r["v"]: r["root"] for r in simhash.components(edges).collect()}
+    near = np.bitwise_count(a[:, None] ^ a[None, :]) <= 2
+    signed = a.view(np.int64).tolist()
+    for i, x in enumerate(signed):
+        for j in np.flatnonzero(near[i]):
+            assert roots.get(x, x) == roots.get(signed[j], signed[j])
+    assert sum(near.sum(axis=1) > 1) == len(roots) + len(set(roots.values()))
+
+
+def test_short_near_copies_are_candidates(spark):
+    """Eight words against nine: four of five shingles in common, a similarity of exactly 0.8, in 600 pairs."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(600):
+        words = [f"w{int(x)}" for x in rng.integers(0, 10**9, 9)]
+        rows += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(600)}
