@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.session import shared_folder
+from larkspur.session import drop_written, scratch, written
+
+__all__ = ["ASCII_SPACE", "by_batch", "crc_column", "crc_text", "drop_written", "id_text", "scratch", "table", "written"]
 
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -19,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the folder of spark.checkpoint.dir and read back.
-
-    Cuts lineage; a lost executor loses nothing of it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the folder of a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/larkspur/" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:
     """df through f, an Arrow batch at a time; setup() runs once in each task and goes to f as its second argument."""
 

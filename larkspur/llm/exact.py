@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ASCII_SPACE, by_batch, id_text, table, written
+from larkspur.llm.common import ASCII_SPACE, by_batch, id_text, scratch, table, written
 from larkspur.llm.rows import SPARK_SEED, keep_rows
 
 CAPACITY, MOST_BITS, FIRST_BITS, OWNER_BYTES = 512, 18, 12, 64 << 20
@@ -213,8 +213,9 @@ def probe(docs: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame]) -> Dat
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they are."""
-    named = duplicates(docs).groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    kept = written(named.where("kept").drop("kept"), "exact-kept")
+    with scratch(docs.sparkSession):
+        named = duplicates(docs).groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+        kept = written(named.where("kept").drop("kept"), "exact-kept", keep=True)
     return keep_rows(docs, kept)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import by_batch, crc_column, crc_text, id_text, table, written
+from larkspur.llm.common import by_batch, crc_column, crc_text, id_text, scratch, table, written
 
 SAMPLE, ROUNDS, SMOOTH, LANGUAGES = 2000, 2, 0.1, 256
 MEMORY, KEPT, CELLS = 32 << 20, 48, 2_000_000  # bytes of remembered words, the longest of them, values worked on at once
@@ -292,6 +292,12 @@ class Scorer:
         return out
 
 
+def fitted(docs: DataFrame, path: str | None = None, floors: bool = False) -> tuple:
+    """learn() from the documents outside the held-out fold; its sample goes at the end."""
+    with scratch(docs.sparkSession):
+        return learn(learned_from(docs), path, floors=floors)
+
+
 def learned_from(docs: DataFrame) -> DataFrame:
     """doc_id, text, lang of the documents outside the held-out fold whose language is given."""
     return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(crc_column() % FOLDS != HELD)
@@ -299,7 +305,7 @@ def learned_from(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, path: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    langs, p = model or learn(learned_from(docs), path)
+    langs, p = model or fitted(docs, path)
     held = docs.sparkSession.sparkContext.broadcast((langs, p))
 
     def run(batch: pa.RecordBatch, scorer: Scorer) -> pa.RecordBatch:
@@ -317,7 +323,7 @@ def known_language(docs: DataFrame, least: float = LEAST, sure: float = SURE, ma
     in it, by more than `margin` in the mean log probability, than those of all but RARE of the sample's texts: these are
     in no language that was learned.
     """
-    langs, p, floor = learn(learned_from(docs), path, floors=True)
+    langs, p, floor = fitted(docs, path, True)
     held = docs.sparkSession.sparkContext.broadcast((langs, p))
     lowest = {lang: x - margin for lang, x in zip(langs, floor.tolist())}
     names = docs.columns

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import by_batch, drop_written, id_text, table, written
+from larkspur.llm.common import by_batch, drop_written, id_text, scratch, table, written
 
 MIN_WORDS = 20
 _LAST, _AFTER = (1 << 63) - 1, 1 << 62  # of null ids: after the highest id, whose own rows come first
@@ -112,16 +112,16 @@ def without(text: str, runs: list[tuple[int, int]], min_words: int = MIN_WORDS)
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (null as empty, later copies of repeated runs deleted), n_lines, n_deleted."""
     rows = written(id_text(docs).select((F.monotonically_increasing_id() + F.when(F.col("doc_id").isNull(), F.lit(_AFTER)).otherwise(0)).alias("u"), F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "text"), "lines-docs")
-    levels = ranks(written(line_ids(rows), "lines"))
-    found = seen_before(levels) if levels else []
-    if found:
-        runs = found[0]
-        for x in found[1:]:
-            runs = runs.union(x)
-        own = runs.groupBy(F.col("p.u").alias("u")).agg(F.collect_list(F.struct(F.col("p.i").alias("i"), "n")).alias("runs"))  # of one document
-        rows = rows.join(own, "u", "left")
-    else:
-        rows = rows.withColumn("runs", F.expr("CAST(NULL AS array<struct<i: int, n: int>>)"))
+    with scratch(docs.sparkSession):
+        levels = ranks(written(line_ids(rows), "lines"))
+        found = seen_before(levels) if levels else []
+        if found:
+            runs = found[0]
+            for x in found[1:]:
+                runs = runs.union(x)
+            own = runs.groupBy(F.col("p.u").alias("u")).agg(F.collect_list(F.struct(F.col("p.i").alias("i"), "n")).alias("runs"))  # of one document
+            own = written(own, "lines-runs", keep=True)
+    rows = rows.join(own, "u", "left") if found else rows.withColumn("runs", F.expr("CAST(NULL AS array<struct<i: int, n: int>>)"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import by_batch, crc_column, crc_text, id_text, table, written
+from larkspur.llm.common import by_batch, crc_column, crc_text, id_text, scratch, table, written
 from larkspur.llm.rows import sifted
 
 BITS, SAMPLE, SMOOTH, COST, EPOCHS = 18, 1500, 1.0, 1.0, 20
@@ -159,7 +159,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(written(labelled_rows(docs, labels), "quality-labelled"), sample))
+    with scratch(docs.sparkSession):
+        model = docs.sparkSession.sparkContext.broadcast(learn(written(labelled_rows(docs, labels), "quality-labelled"), sample))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = model.value.scores(batch.column("text").to_pylist())

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import by_batch, drop_written, id_text, table, written
+from larkspur.llm.common import by_batch, drop_written, id_text, scratch, table, written
 from larkspur.llm.rows import SPARK_SEED, keep_rows, sifted
 
 WORDS, SEED, RADIUS, SEGMENTS, TILE = 3, 42, 2, 4, 4096
@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
     """doc_id, th, fp, root (smallest fingerprint of the component), component_id (smallest doc_id that links reach, itself included)."""
     marked = written(fingerprints(docs, words, seed), "simhash")
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = written(links(firsts.select("fp"), radius, segments), "links")
+    with scratch(docs.sparkSession):
+        edges = written(links(firsts.select("fp"), radius, segments), "links", keep=True)
     if edges.isEmpty():
         named = firsts.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     else:
@@ -401,9 +402,10 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
 
 def near_dedup(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id (null last); all columns as they are."""
-    groups = similar_groups(docs, words, least).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
-    kept = written(first.groupBy("k.doc_id", "k.th").agg(F.sum("k.n").alias("n")), "simhash-kept")
+    with scratch(docs.sparkSession):
+        groups = similar_groups(docs, words, least).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+        first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
+        kept = written(first.groupBy("k.doc_id", "k.th").agg(F.sum("k.n").alias("n")), "simhash-kept", keep=True)
     return keep_rows(docs, kept)
 
 
