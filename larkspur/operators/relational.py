@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.splits import uniform
+
 
 def log_transform(x: Column | str) -> Column:
     """ln(x + 1) + 1."""
@@ -52,9 +54,9 @@ def prune(cells: DataFrame, threshold: float = 0.0, value: str = "value") -> Dat
     return cells.where(F.col(value) >= threshold)
 
 
-def sample_users(df: DataFrame, user: str, share: float = 0.01, seeds: DataFrame | None = None, seed: int = 17) -> DataFrame:
+def sample_users(df: DataFrame, user: str, share: float = 0.01, seeds: DataFrame | None = None, seed: int = 17, kind: str = "xx") -> DataFrame:
     """Rows of a share of the users, chosen by a hash of the user, and of the users in seeds (first column)."""
-    chance = F.pmod(F.xxhash64(F.col(user), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    chance = uniform(user, seed=seed, kind=kind) < share
     if seeds is None:
         return df.where(chance)
     own = seeds.select(F.col(seeds.columns[0]).alias(user)).distinct().withColumn("_seed", F.lit(True))

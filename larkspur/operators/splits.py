@@ -6,14 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def uniform(*columns: str, seed: int = 11) -> Column:
-    """A number in [0, 1) from a hash of the columns: the same for the same row, however often it is worked out."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+PRIME = 2147483647  # 2 ** 31 - 1
 
 
-def random_split(df: DataFrame, train: float = 0.9, probe: float = 0.1, seed: int = 11, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def uniform(*columns: str, seed: int = 11, kind: str = "xx") -> Column:
+    """A number in [0, 1) from a hash of the columns: the same for the same row, however often it is worked out.
+
+    kind: xx takes columns of any type; arithmetic takes whole numbers and uses products and remainders alone, so that
+    other engines can work out the same numbers.
+    """
+    if kind == "xx":
+        return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    x = F.lit(seed).cast("long")
+    for c in columns:
+        x = F.pmod(x * 48271 + F.pmod(F.col(c).cast("long"), F.lit(PRIME)), F.lit(PRIME))
+        x = F.pmod(x * 1_597_334_677, F.lit(PRIME))
+        x = F.pmod(x * x + x * 69621 + 7, F.lit(PRIME))
+        x = F.pmod(x * 742_938_285, F.lit(PRIME))
+    return x / F.lit(float(PRIME))
+
+
+def random_split(df: DataFrame, train: float = 0.9, probe: float = 0.1, seed: int = 11, by: list[str] | None = None, kind: str = "xx") -> tuple[DataFrame, DataFrame]:
     """Each row goes to train with chance `train`, to probe with chance `probe`, else to neither. by: columns whose equal values stay together."""
-    u = uniform(*(by or df.columns), seed=seed)
+    u = uniform(*(by or df.columns), seed=seed, kind=kind)
     return df.where(u <= train), df.where((u > train) & (u <= train + probe))
 
 

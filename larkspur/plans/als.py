@@ -1,8 +1,9 @@
 """Alternating least squares, explicit and implicit.
 
-A half-step solves one small system per row of one side. What a row's system needs is a sum over its ratings, so it is
-worked out as partial sums per task and row before any shuffle: a row with a third of all ratings is split like any
-other. Factors of the other side are broadcast while they are under BROADCAST_BYTES and joined beyond that.
+A half-step solves one small system per row of one side. Ratings are dealt by that side and sorted by it, so a task adds
+up each row's system as it reads, one matrix product a row, for any number of features, and holds one row at a time. A
+row of over HOT ratings is dealt to several tasks; their sums, which are few, meet in a second step. Factors of the other
+side are broadcast while they are under BROADCAST_BYTES, after the ratings are dealt, and joined before that beyond it.
 """
 
 from __future__ import annotations
@@ -10,79 +11,128 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.session import written
+from larkspur.session import broadcast_if_small, drop_written, written
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES, HOT, GO = 64 << 20, 200_000, 256
 
 
-def _pairs(k: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(k)
+def _factor_rows(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def _with_factors(ratings: DataFrame, factors: DataFrame, own: str, other: str, k: int, rows: int, strategy: str | None) -> DataFrame:
-    """own, rating, f (the other side's factors)."""
-    side = factors.select(F.col("id").alias(other), F.col("f"))
-    small = strategy == "broadcast" or (strategy is None and 8 * rows * k <= BROADCAST_BYTES)
-    return ratings.join(F.broadcast(side) if small else side, other).select(own, "rating", "f")
+def _arrays(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.ravel())
 
 
-def _systems(joined: DataFrame, own: str, k: int, alpha: float, implicit: bool) -> DataFrame:
-    """own, s: per row the sums for its matrix (upper triangle), its right side and its count, as one array."""
-    i, j = _pairs(k)
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids, at = np.unique(frame[own].to_numpy(), return_inverse=True)
-            y, r = np.stack(frame["f"].to_numpy()), frame["rating"].to_numpy(float)
-            weight = alpha * r if implicit else np.ones(len(r))
-            right = (1 + alpha * r) if implicit else r
-            parts = np.concatenate([weight[:, None] * y[:, i] * y[:, j], right[:, None] * y, np.ones((len(r), 1))], axis=1)
-            sums = np.zeros((len(ids), parts.shape[1]))
-            np.add.at(sums, at, parts)
-            yield pd.DataFrame({own: ids, "s": list(sums)})
-
-    n = len(i) + k + 1
-    partials = joined.mapInPandas(partial, f"{own} long, s array<double>")
-    return partials.groupBy(own).agg(F.array(*[F.sum(F.col("s")[x]) for x in range(n)]).alias("s"))
+def dealt(ratings: DataFrame, own: str, other: str) -> tuple[DataFrame, bool]:
+    """ratings with _parts, the number of tasks that a row of one side is dealt to, and _part; and whether any has more than one."""
+    counts = ratings.groupBy(own).agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("_parts")).where("_parts > 1")
+    if counts.isEmpty():
+        return ratings.withColumns({"_parts": F.lit(1), "_part": F.lit(0)}), False
+    joined = ratings.join(broadcast_if_small(written(counts, "als-hot")), own, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    return joined.withColumn("_part", F.pmod(F.xxhash64(other), "_parts").cast("int")), True
 
 
 def gram(factors: DataFrame, k: int) -> np.ndarray:
-    """Y'Y: k x k numbers, summed per task first."""
+    """Y'Y: k x k numbers, summed per task, then in a few tasks, then here."""
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, k))
-        for frame in frames:
-            if len(frame):
-                y = np.stack(frame["f"].to_numpy())
+        for b in batches:
+            if b.num_rows:
+                y = _factor_rows(b.column(0), k)
                 total += y.T @ y
-        yield pd.DataFrame({"s": [total.ravel()]})
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    sums = factors.select("f").mapInPandas(partial, "s array<double>").agg(*[F.sum(F.col("s")[x]) for x in range(k * k)]).first()
-    return np.array([x or 0.0 for x in sums]).reshape(k, k)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    sums = factors.select("f").mapInArrow(partial, "s binary").repartition(8).mapInArrow(merge, "s binary").collect()  # 8 rows
+    return sum((np.frombuffer(r["s"]) for r in sums), np.zeros(k * k)).reshape(k, k)
 
 
 def half_step(ratings: DataFrame, factors: DataFrame, own: str, other: str, k: int, reg: float, alpha: float = 40.0, implicit: bool = False, strategy: str | None = None) -> DataFrame:
     """(id, f) of one side from the other's. Implicit: (Y'Y + Y'(C - I)Y + reg I) x = Y'Cp with confidence 1 + alpha r; explicit: reg times the number of ratings."""
-    rows = 0 if strategy else factors.count()
-    systems = _systems(_with_factors(ratings, factors, own, other, k, rows, strategy), own, k, alpha, implicit)
+    rows, hot = dealt(ratings.select(own, other, "rating"), own, other)
+    small = strategy == "broadcast" or (strategy is None and 8 * factors.count() * k <= BROADCAST_BYTES)
+    side = factors.select(F.col("id").alias(other), "f")
+    if not small:
+        rows = rows.join(side, other)
+    rows = rows.repartition(own, "_part")
+    if small:
+        rows = rows.join(F.broadcast(side), other)
     base = gram(factors, k) if implicit else np.zeros((k, k))
-    i, j = _pairs(k)
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
+    def solved(ids: list[int], sums: list[np.ndarray]) -> np.ndarray:
+        s = np.stack(sums)
+        a = s[:, : k * k].reshape(-1, k, k) + base + np.eye(k) * (reg if implicit else (reg * s[:, -1])[:, None, None])
+        return np.linalg.solve(a, s[:, k * k : k * k + k, None])[..., 0]
+
+    def out(ids: list[int], sums: list[np.ndarray], whole: bool) -> pa.RecordBatch:
+        f = _arrays(solved(ids, sums)) if whole else pa.nulls(len(ids), pa.list_(pa.float64()))
+        parts = pa.nulls(len(ids), pa.binary()) if whole else pa.array([s.tobytes() for s in sums], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), f, parts], ["id", "f", "s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[bool, tuple[list[int], list[np.ndarray]]] = {True: ([], []), False: ([], [])}
+        at, whole, held = None, True, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            ids, sums = done[whole]
+            ids.append(at[0])
+            sums.append(held)
+            if len(ids) >= GO:
+                yield out(ids, sums, whole)
+                done[whole] = ([], [])
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            s = np.stack(frame["s"].to_numpy())
-            a = np.zeros((len(s), k, k))
-            a[:, i, j] = a[:, j, i] = s[:, : len(i)]
-            a += base + np.eye(k) * (reg if implicit else (reg * s[:, -1])[:, None, None])
-            yield pd.DataFrame({"id": frame[own].to_numpy(), "f": list(np.linalg.solve(a, s[:, len(i) : len(i) + k, None])[..., 0])})
-
-    return systems.mapInPandas(solve, "id long, f array<double>")
+            ids, part, parts = (b.column(c).to_numpy(zero_copy_only=False) for c in (own, "_part", "_parts"))
+            y, r = _factor_rows(b.column("f"), k), b.column("rating").to_numpy(zero_copy_only=False).astype(float)
+            weight, right = (alpha * r, 1 + alpha * r) if implicit else (np.ones(len(r)), r)
+            cut = np.flatnonzero((ids[1:] != ids[:-1]) | (part[1:] != part[:-1])) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(ids)]):
+                key, z = (int(ids[lo]), int(part[lo])), y[lo:hi]
+                s = np.concatenate([((z * weight[lo:hi, None]).T @ z).ravel(), right[lo:hi] @ z, [hi - lo]])
+                if key == at:
+                    held += s
+                    continue
+                if at is not None:
+                    yield from close()
+                at, whole, held = key, parts[lo] == 1, s
+        if at is not None:
+            yield from close()
+        for kind, (ids, sums) in done.items():
+            if ids:
+                yield out(ids, sums, kind)
+
+    rows = rows.select(own, "_part", "_parts", F.col("rating").cast("double").alias("rating"), "f").sortWithinPartitions(own, "_part")
+    first = rows.mapInArrow(add, "id long, f array<double>, s binary")
+    if not hot:
+        return first.select("id", "f")
+    first = written(first, "als-parts")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for b in batches:
+            for i, s in zip(b.column("id").to_pylist(), b.column("s").to_pylist()):
+                if i != at and at is not None:
+                    yield out([at], [held], True)
+                at, held = i, np.frombuffer(s) + (held if i == at else 0)
+        if at is not None:
+            yield out([at], [held], True)
+
+    few = first.where("s IS NOT NULL").repartition("id").sortWithinPartitions("id").mapInArrow(meet, "id long, f array<double>, s binary")
+    return first.where("s IS NULL").select("id", "f").union(few.select("id", "f"))
 
 
 def initial_items(ratings: DataFrame, k: int, seed: int = 5) -> DataFrame:
@@ -99,22 +149,59 @@ def movement(new: DataFrame, old: DataFrame) -> tuple[int, float]:
     return n, float(total or 0.0)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, folder: str) -> list[int]:
+    """The iterations whose factors of both sides stand in a folder, ascending."""
+    place, fs = _hadoop(spark, folder)
+    if not fs.exists(place):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(place)]
+    whole = lambda n: all(_hadoop(spark, f"{folder}/{n}/{side}/_SUCCESS")[1].exists(_hadoop(spark, f"{folder}/{n}/{side}/_SUCCESS")[0]) for side in ("users", "items"))
+    return sorted(int(n[10:]) for n in names if n.startswith("iteration-") and whole(n))
+
+
 def factorise(
-    ratings: DataFrame, k: int, iterations: int, reg: float, implicit: bool = False, alpha: float = 40.0, items: DataFrame | None = None, strategy: str | None = None, curve: bool = False, log: bool = False
-) -> tuple[DataFrame, DataFrame, list[tuple[int, int, float, int, float]]]:
+    ratings: DataFrame, k: int, iterations: int, reg: float, implicit: bool = False, alpha: float = 40.0, items: DataFrame | None = None, strategy: str | None = None, curve: bool = False, log: bool = False,
+    folder: str | None = None, start: int | None = None,
+) -> tuple[DataFrame, DataFrame, list[tuple[int, int, float, int, float]]]:
     """ratings: user, item, rating. Users' and items' factors (id, f) and, with curve, how far both moved in each iteration.
 
-    items: factors to go on from. log: ratings become ln(x + 1) + 1 first. Each half-step is written to the shared folder.
+    items: factors to go on from. log: ratings become ln(x + 1) + 1 first. Each half-step is written to the shared folder,
+    and an iteration's factors are deleted once the next one's are there. folder: where each iteration's factors go instead;
+    a call that finds some there goes on after the last whole iteration, or after iteration start - 1 if start is given.
     """
+    spark = ratings.sparkSession
     value = F.log1p("rating") + 1 if log else F.col("rating")
-    cells = written(ratings.groupBy("user", "item").agg(F.sum("rating").alias("rating")).select("user", "item", value.cast("double").alias("rating")), "als-ratings")
-    items = written(items if items is not None else initial_items(cells, k), "als-items")
-    users, moved = None, []
-    for n in range(iterations):
-        new_users = written(half_step(cells.where("rating <> 0"), items, "user", "item", k, reg, alpha, implicit, strategy), "als-users")
-        new_items = written(half_step(cells.where("rating <> 0"), new_users, "item", "user", k, reg, alpha, implicit, strategy), "als-items")
+    cells = written(ratings.groupBy("user", "item").agg(F.sum("rating").alias("rating")).where("rating <> 0").select("user", "item", value.cast("double").alias("rating")), "als-ratings")
+    users, moved, first = None, [], 0
+    if folder and (done := [n for n in finished(spark, folder) if start is None or n < start]):
+        first = done[-1] + 1
+        users, items = (spark.read.parquet(f"{folder}/iteration-{done[-1]}/{side}") for side in ("users", "items"))
+    else:
+        items = written(items if items is not None else initial_items(cells, k), "als-items")
+
+    def store(df: DataFrame, side: str, n: int) -> DataFrame:
+        if not folder:
+            return written(df, f"als-{side}")
+        path = f"{folder}/iteration-{n}/{side}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    for n in range(first, iterations):
+        new_users = store(half_step(cells, items, "user", "item", k, reg, alpha, implicit, strategy), "users", n)
+        new_items = store(half_step(cells, new_users, "item", "user", k, reg, alpha, implicit, strategy), "items", n)
         if curve:
             moved.append((n, *(movement(new_users, users) if users is not None else (new_users.count(), 0.0)), *movement(new_items, items)))
+        for old in (users, items) if not folder else ():
+            if old is not None:
+                drop_written(old)
+        if folder and n:
+            place, fs = _hadoop(spark, f"{folder}/iteration-{n - 1}")
+            fs.delete(place, True)
         users, items = new_users, new_items
     return users, items, moved
 

@@ -5,48 +5,73 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.topk import minmax_scores, ranked
 
-BLOCK = 4096
+BLOCK, GROUP = 4096, 1024
 
 
-def score_topk(users: DataFrame, items: DataFrame, k: int, extra: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def _best(s: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's `take` highest values, of equal ones those of the lowest columns. A selection, not a sort of all."""
+    most = np.minimum(take, s.shape[1])
+    order = np.argsort(most, kind="stable")
+    rows, cols = [], []
+    for i in range(0, len(order), 64):
+        own = order[i : i + 64]
+        n = int(most[own].max())
+        if n <= 0:
+            continue
+        part = s[own]
+        least = np.partition(part, part.shape[1] - n, axis=1)[:, part.shape[1] - n]
+        r, c = np.nonzero(part >= least[:, None])
+        by = np.lexsort((c, -part[r, c], r))
+        r, c = r[by], c[by]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = rank < most[own][r]
+        rows.append(own[r[keep]])
+        cols.append(c[keep])
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(rows or empty), np.concatenate(cols or empty)
+
+
+def score_topk(users: DataFrame, items: DataFrame, k: int, extra: DataFrame | None = None, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(user, item, score): each user's k items with the highest product of factors, plus as many as extra (user, n) says.
 
-    Items are dealt in blocks; a block is one row of at most `block` factors, users pass it in batches by matrix product,
-    and only each block's best are kept, so no user-item pair is ever a row.
+    Items are dealt in blocks and users in groups, a row each; a group meets a block in a matrix product of which only
+    each user's best are kept, so no user-item pair is ever a row. Pairs of group and block are dealt over all tasks: a
+    block is repeated for each bundle of groups.
     """
-    n_blocks = max(1, -(-items.count() // block))
+    spark = users.sparkSession
+    n_blocks, n_groups = max(1, -(-items.count() // block)), max(1, -(-users.count() // group))
+    bundles = max(1, min(n_groups, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks)))
     blocks = items.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).groupBy("b").agg(F.collect_list(F.struct("id", "f")).alias("own"))
+    blocks = blocks.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))))
     wanted = users if extra is None else users.join(extra.select(F.col("user").alias("id"), F.col("n").alias("_n")), "id", "left")
     wanted = wanted.select("id", "f", (F.lit(k) + (F.lit(0) if extra is None else F.coalesce("_n", F.lit(0)))).cast("int").alias("take"))
-    groups = wanted.withColumn("g", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.lit(-(-users.count() // block))))).groupBy("g").agg(F.collect_list(F.struct("id", "f", "take")).alias("who"))
+    groups = wanted.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n_groups))).groupBy("g").agg(F.collect_list(F.struct("id", "f", "take")).alias("who"))
+    groups = groups.select("who", F.pmod("g", F.lit(bundles)).alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                ids = np.array([r["id"] for r in row.own])
-                y = np.array([r["f"] for r in row.own]).T
+    def columns(of: pa.StructArray) -> list[np.ndarray]:
+        f = of.field("f")
+        return [of.field("id").to_numpy(zero_copy_only=False), f.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1)]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for who, own in zip(batch.column("who"), batch.column("own")):
+                (ids, y), (users, x) = columns(own.values), columns(who.values)
+                take = who.values.field("take").to_numpy(zero_copy_only=False)
                 order = np.argsort(ids)
-                ids, y = ids[order], y[:, order]
-                take = np.array([r["take"] for r in row.who])
-                x = np.array([r["f"] for r in row.who])
-                found = []
+                ids, y = ids[order], y[order].T
                 for at in range(0, len(x), 256):
                     s = x[at : at + 256] @ y
-                    # Stable, so that of equal scores the lowest ids stay.
-                    found += [top[:n] for top, n in zip(np.argsort(-s, axis=1, kind="stable")[:, : take.max()], take[at : at + 256])]
-                own = np.repeat(np.arange(len(x)), [len(f) for f in found])
-                at = np.concatenate(found)
-                yield pd.DataFrame({"user": np.array([r["id"] for r in row.who])[own], "item": ids[at], "score": np.einsum("ij,ji->i", x[own], y[:, at]), "take": take[own]})
-
-    # A group of users goes once to each block of items: (users / block) x (items / block) rows.
-    pairs = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "b").select("who", "own")
-    each = pairs.mapInPandas(best, "user long, item long, score double, take int")
+                    r, c = _best(s, take[at : at + 256])
+                    yield pa.RecordBatch.from_arrays([pa.array(users[at + r]), pa.array(ids[c]), pa.array(s[r, c]), pa.array(take[at + r], pa.int32())], ["user", "item", "score", "take"])
+
+    pairs = groups.join(blocks, ["b", "bundle"]).select("who", "own")
+    each = pairs.mapInArrow(best, "user long, item long, score double, take int")
     return ranked(each, "user", "item", "score").where("rank <= take").select("user", "item", "score", "rank")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,10 @@ from larkspur.operators.joins import Target, cogroup, equi_join, lookup_join
 from larkspur.plans import als, credit, walk
 from larkspur.plans import reasons as why
 from larkspur.plans import recommend as rec
-from larkspur.sources.delimited import as_lines, comma_fields, encode_fields
+from larkspur.session import shared_folder, written
+from larkspur.sources import sinks
+from larkspur.sources.delimited import as_lines, comma_fields, encode_fields, read_columns, read_lines, side_table
+from larkspur.sources.options import read_places, targets
 from larkspur.sources.tables import cells, ratings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,10 +74,20 @@ def prune(spark, d):
     return relational.prune(cells(spark, d), 30)
 
 
-@query()
+def _uniform(seed: int, *columns: str) -> str:
+    """splits.uniform(kind="arithmetic") in SQL."""
+    x, p = f"{seed}::BIGINT", splits.PRIME
+    for c in columns:
+        x = f"(({x} * 48271 + {c} % {p}) % {p})"
+        x = f"({x} * 1597334677 % {p})"
+        x = f"((({x} * {x} + {x} * 69621 + 7) % {p}) * 742938285 % {p})"
+    return f"({x} / {float(p)}::DOUBLE)"
+
+
+@query(f"WITH {RATINGS} SELECT \"user\", item, rating FROM ratings WHERE {_uniform(17, chr(34) + 'user' + chr(34))} < 0.1 OR \"user\" IN (SELECT c_custkey FROM customer WHERE c_custkey % 97 = 0)")
 def sample_users(spark, d):
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user"))
-    return relational.sample_users(ratings(spark, d), "user", 0.1, users.where("user % 97 = 0"))
+    return relational.sample_users(ratings(spark, d), "user", 0.1, users.where("user % 97 = 0"), kind="arithmetic")
 
 
 @query("SELECT l_returnflag || ',' || l_linestatus AS value, count(*) AS n FROM lineitem GROUP BY 1")
@@ -208,12 +222,12 @@ for _name, _how, _sql in (
 
 
 @query(f"""
-    WITH {RATINGS}, p AS (SELECT "user", count(*) AS n, sum(item)::BIGINT AS items, sum(rating) AS total FROM ratings WHERE rating >= 40 GROUP BY 1)
+    WITH {RATINGS}, p AS (SELECT "user", count(*) AS n, sum(item)::BIGINT AS items, sum(rating) AS total FROM ratings GROUP BY 1)
     SELECT c_custkey AS "user", c_name AS v, true AS one_vector, coalesce(n, 0)::INT AS n, coalesce(items, 0)::BIGINT AS items, coalesce(total, 0.0) AS total
     FROM customer LEFT JOIN p ON "user" = c_custkey""")
 def cogroup_prefs(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("user"), F.col("c_name").alias("v"))
-    out = cogroup(c, ratings(spark, d).where("rating >= 40"), "user", "v", "item", "rating")
+    out = cogroup(c, ratings(spark, d), "user", "v", "item", "rating")
     return out.select("user", "v", "one_vector", F.size("items").alias("n"), F.aggregate("items", F.lit(0).cast("long"), lambda a, b: a + b).alias("items"), F.aggregate("values", F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
@@ -314,38 +328,39 @@ def l2_norm(spark, d):
     return matrix.l2_normalise(cells(spark, d)).select("row", "col", r("value"))
 
 
-def _brand_cells(spark, d):
-    """Users by brand number: a narrow matrix, whose products stay small at any size."""
+def _brand_rows(spark, d):
+    """Brands by users."""
     part = table(spark, d, "part").select("p_partkey", "p_brand")
     coded = indexing.encode(part, {"p_brand": indexing.dictionary(part, "p_brand")})
     x = ratings(spark, d).join(coded, F.col("item") == F.col("p_partkey"))
-    return x.groupBy(F.col("user").alias("row"), F.col("p_brand").alias("col")).agg(F.sum("rating").alias("value"))
+    return x.groupBy(F.col("p_brand").alias("row"), F.col("user").alias("col")).agg(F.sum("rating").alias("value"))
 
 
-_BC = f"{BRANDS}, {_BRAND}, b AS (SELECT \"row\", id AS col, brands.value AS value FROM brands JOIN dict ON brand = dict.value)"
+_SELF = f"WITH {CELLS}, p AS (SELECT x.col AS \"row\", y.col AS col, sum(x.value * y.value) AS value FROM cells x JOIN cells y ON x.\"row\" = y.\"row\" GROUP BY 1, 2) "
 
 
-@query(f"WITH {_BC} SELECT x.col AS \"row\", y.col, sum(x.value * y.value) AS value FROM b x JOIN b y ON x.\"row\" = y.\"row\" GROUP BY 1, 2 HAVING sum(x.value * y.value) >= 1000")
+@query(_SELF + "SELECT * FROM p WHERE value >= 1000")
 def atb_threshold(spark, d):
-    b = _brand_cells(spark, d)
-    return matrix.atb(b, b, 1000)
+    """Items by items."""
+    x = cells(spark, d)
+    return matrix.atb(x, x, 1000)
 
 
-@query(f"WITH {_BC} SELECT x.col AS \"row\", y.col, sum(x.value * y.value) AS value FROM b x JOIN b y ON x.\"row\" = y.\"row\" GROUP BY 1, 2")
+@query(_SELF + "SELECT * FROM p WHERE value <> 0")
 def gram(spark, d):
-    return matrix.gram(_brand_cells(spark, d))
+    return matrix.gram(cells(spark, d))
 
 
-@query(f"WITH {_BC} SELECT x.col AS \"row\", y.col, ceil(sum(x.value * y.value))::BIGINT AS value FROM b x JOIN b y ON x.\"row\" = y.\"row\" GROUP BY 1, 2")
+@query(f"WITH {BRANDS}, {_BRAND}, b AS (SELECT id AS i, \"row\" AS u, brands.value AS x FROM brands JOIN dict ON brand = dict.value), {CELLS} SELECT b.i AS \"row\", c.col, ceil(sum(b.x * c.value))::BIGINT AS value FROM b JOIN cells c ON b.u = c.\"row\" GROUP BY 1, 2")
 def block_multiply(spark, d):
-    b = _brand_cells(spark, d)
-    return matrix.multiply(matrix.transpose(b), b, as_int=True)
+    """Brands by users times users by items: many blocks in both."""
+    return matrix.multiply(_brand_rows(spark, d), cells(spark, d), as_int=True)
 
 
-@query(f"WITH {_BC} SELECT x.col AS \"row\", y.col, sum(x.value * y.value) AS value FROM b x JOIN b y ON x.\"row\" = y.\"row\" GROUP BY 1, 2 HAVING sum(x.value * y.value) > 1000")
+@query(_SELF + "SELECT * FROM p WHERE value > 1000")
 def cell_multiply(spark, d):
-    b = _brand_cells(spark, d)
-    return matrix.multiply(matrix.transpose(b), b, threshold=1000, strategy=4)
+    x = cells(spark, d)
+    return matrix.multiply(matrix.transpose(x), x, threshold=1000, strategy=4)
 
 
 _HALF = "SELECT o_custkey AS \"row\", l_partkey AS col, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate {} TIMESTAMP '" + CUT + "' GROUP BY 1, 2"
@@ -389,12 +404,10 @@ def user_credit(spark, d):
 
 
 @query(f"""
-    WITH {BRANDS}, seen AS (SELECT DISTINCT "row", brand FROM brands WHERE value >= 100),
-    n AS (SELECT a.brand AS col, b.brand AS other, count(*) AS n FROM seen a JOIN seen b ON a."row" = b."row" AND a.brand <> b.brand GROUP BY 1, 2)
+    WITH {CELLS}, n AS (SELECT a.col, b.col AS other, count(*) AS n FROM cells a JOIN cells b ON a."row" = b."row" AND a.col <> b.col GROUP BY 1, 2)
     SELECT col, other, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, other) AS rank FROM n) WHERE rank <= 5""")
 def cooccurrence_topk(spark, d):
-    x = ratings(spark, d).join(table(spark, d, "part"), F.col("item") == F.col("p_partkey")).groupBy(F.col("user").alias("row"), F.col("p_brand").alias("col")).agg(F.sum("rating").alias("value"))
-    return matrix.cooccurrence_topk(x.where("value >= 100"), 5)
+    return matrix.cooccurrence_topk(cells(spark, d), 5)
 
 
 @query("SELECT range AS \"row\", range AS col, 1.0::DOUBLE AS value FROM range(100)")
@@ -446,14 +459,17 @@ def kfold_ordered(spark, d):
     return splits.kfold(ratings(spark, d), "user", 4, F.col("item"))
 
 
-@query()
+_Q = chr(34) + "user" + chr(34)
+
+
+@query(f"WITH {RATINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY {_uniform(11, _Q, 'item')}, item) - 1 AS i, ceil(count(*) OVER (PARTITION BY \"user\") / 4) AS w FROM ratings) SELECT \"user\", item, rating, floor(i / w)::INT AS fold FROM n")
 def kfold(spark, d):
-    return splits.kfold(ratings(spark, d), "user", 4)
+    return splits.kfold(ratings(spark, d), "user", 4, [splits.uniform("user", "item", kind="arithmetic"), F.col("item")])
 
 
-@query()
+@query(f"WITH {RATINGS}, n AS (SELECT *, {_uniform(11, _Q, 'item')} AS u FROM ratings) SELECT \"user\", item, rating, CASE WHEN u <= 0.8 THEN 0 ELSE 1 END AS side FROM n WHERE u <= 0.8 + 0.15")
 def random_split(spark, d):
-    train, probe = splits.random_split(ratings(spark, d), 0.8, 0.15)
+    train, probe = splits.random_split(ratings(spark, d), 0.8, 0.15, by=["user", "item"], kind="arithmetic")
     return relational.union_all(train, probe, tag="side")
 
 
@@ -524,11 +540,16 @@ def random_walk_2iter(spark, d):
     return _walked(spark, d, 2)[2].select("row", "col", r("value", 9))
 
 
-@query()
+@query(f"""
+    WITH {_W0}{_step(1)}, e AS (SELECT "row" AS u, col AS i, min(value) AS edge FROM cells GROUP BY 1, 2),
+    a AS (SELECT u, c, row_number() OVER (PARTITION BY u ORDER BY round(x, 9) DESC, c) AS rank FROM u1),
+    b AS (SELECT c, i, row_number() OVER (PARTITION BY c ORDER BY round(x, 9) DESC, i) AS rank FROM c1)
+    SELECT a.u AS "row", a.c AS col, rank::INT AS rank, coalesce(edge, -1.0) AS edge, 'user' AS side FROM a LEFT JOIN e ON a.u = e.u AND a.c = e.i WHERE rank <= 3
+    UNION ALL SELECT c, i, rank::INT, NULL, 'class' FROM b WHERE rank <= 3""")
 def random_walk_lists(spark, d):
     edges, users, items = _walked(spark, d, 1)
-    best, inverse = walk.walk_lists(edges, users, items, 3)
-    return best.select("row", "col", "rank", F.lit("user").alias("side")).unionByName(inverse.select("row", "col", "rank", F.lit("class").alias("side")))
+    best, inverse = walk.walk_lists(edges, users.select("row", "col", r("value", 9)), items.select("row", "col", r("value", 9)), 3)
+    return best.select("row", "col", "rank", "edge", F.lit("user").alias("side")).unionByName(inverse.select("row", "col", "rank", F.lit(None).cast("double").alias("edge"), F.lit("class").alias("side")))
 
 
 # ---- clusters and patterns
@@ -548,34 +569,38 @@ def minhash_clusters(spark, d):
     return minhash.minhash_clusters(lines, "id", "e", hashes=6, group=2, min_cluster=2)
 
 
-@query("""
-    WITH x AS (SELECT DISTINCT o_custkey AS id, p_brand AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45),
-    f AS (SELECT i, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 5)
-    SELECT i AS item, n FROM f""")
-def frequent_items(spark, d):
-    return patterns.frequent_items(_baskets(spark, d), 5)
+_BASKETS = "x AS (SELECT DISTINCT l_orderkey AS id, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 def _baskets(spark, d):
-    x = table(spark, d, "lineitem").where("l_quantity >= 45").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return x.groupBy("o_custkey").agg(F.collect_set("p_brand").alias("items"))
+    """The brands of each order."""
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return x.groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("items"))
 
 
-@query("""
-    WITH x AS (SELECT DISTINCT o_custkey AS id, p_brand AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45),
-    s AS (SELECT a.i AS a, b.i AS b, count(*) AS n FROM x a JOIN x b ON a.id = b.id AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 5),
-    one AS (SELECT i, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 5),
-    p AS (SELECT i AS item, i AS pattern, n, 1 AS len FROM one UNION ALL SELECT a, a || ',' || b, n, 2 FROM s UNION ALL SELECT b, a || ',' || b, n, 2 FROM s)
-    SELECT item, pattern, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, len DESC, pattern) AS rank FROM p) WHERE rank <= 10""")
+@query(f"WITH {_BASKETS} SELECT i AS item, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 5")
+def frequent_items(spark, d):
+    return patterns.frequent_items(_baskets(spark, d), 5)
+
+
+@query(f"""
+    WITH {_BASKETS},
+    s2 AS (SELECT a.id, a.i AS a, b.i AS b FROM x a JOIN x b ON a.id = b.id AND a.i < b.i),
+    s3 AS (SELECT s2.id, a, b, c.i AS c FROM s2 JOIN x c ON s2.id = c.id AND b < c.i),
+    s4 AS (SELECT s3.id, a, b, c, e.i AS e FROM s3 JOIN x e ON s3.id = e.id AND c < e.i),
+    p AS (
+        SELECT [i] AS items, count(*) AS n FROM x GROUP BY 1 UNION ALL SELECT [a, b], count(*) FROM s2 GROUP BY 1
+        UNION ALL SELECT [a, b, c], count(*) FROM s3 GROUP BY 1 UNION ALL SELECT [a, b, c, e], count(*) FROM s4 GROUP BY 1),
+    each AS (SELECT unnest(items) AS item, array_to_string(items, ',') AS pattern, len(items) AS len, n FROM p WHERE n >= 5)
+    SELECT item, pattern, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, len DESC, pattern) AS rank FROM each) WHERE rank <= 50""")
 def fp_growth_topk(spark, d):
-    return patterns.top_patterns(_baskets(spark, d), 5, 10, longest=2).withColumn("pattern", F.array_join("pattern", ","))
+    """All patterns are mined; the SQL stops at sets of four, as no larger one is among an item's first 50 (tests look at all sizes on small baskets)."""
+    return patterns.top_patterns(_baskets(spark, d), 5, 50).withColumn("pattern", F.array_join("pattern", ","))
 
 
-@query("""
-    WITH x AS (SELECT DISTINCT o_custkey AS id, p_brand AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45)
-    SELECT a.i AS a, b.i AS b, count(*) AS n FROM x a JOIN x b ON a.id = b.id AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 5""")
+@query(f"WITH {_BASKETS} SELECT a.i AS a, b.i AS b, count(*) AS n FROM x a JOIN x b ON a.id = b.id AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 5")
 def pair_supports(spark, d):
-    return patterns.pair_supports(_baskets(spark, d).select("o_custkey", F.explode("items").alias("i")), "o_custkey", "i", 5)
+    return patterns.pair_supports(_baskets(spark, d).select("l_orderkey", F.explode("items").alias("i")), "l_orderkey", "i", 5)
 
 
 # ---- factorisation
@@ -602,8 +627,157 @@ def als_implicit_join(spark, d):
 
 @query()
 def recommend(spark, d):
-    users, items, _ = _factors(spark, d, True)
-    return rec.recommend(users, items, ratings(spark, d), 10)
+    own = written(ratings(spark, d), "ratings")
+    users, items, _ = als.factorise(own, 8, 2, 0.065, True, alpha=1.0)
+    return rec.recommend(users, items, own, 10)
+
+
+#: Factors that SQL can write down, for half-steps and scores with two features.
+_ITEM_F = "y AS (SELECT p_partkey AS id, 1.0 + p_partkey % 7 / 10 AS a, p_partkey % 11 / 10 - 0.3 AS b FROM part)"
+
+
+def _item_factors(spark, d):
+    f = F.array(F.lit(1.0) + F.col("p_partkey") % 7 / 10, F.col("p_partkey") % 11 / 10 - F.lit(0.3))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), f.cast("array<double>").alias("f"))
+
+
+def _solved(m: str) -> str:
+    """A 2 x 2 system with p, q, q, s and right side u, v, by its determinant."""
+    return f"SELECT id, round((s * u - q * v) / (p * s - q * q), 6) + 0.0 AS f0, round((p * v - q * u) / (p * s - q * q), 6) + 0.0 AS f1 FROM ({m})"
+
+
+def _two(solved: DataFrame) -> DataFrame:
+    return solved.select("id", F.col("f")[0].alias("f0"), F.col("f")[1].alias("f1")).select("id", r("f0"), r("f1"))
+
+
+_SUMS = 'SELECT "user" AS id, sum({w} * a * a) AS p, sum({w} * a * b) AS q, sum({w} * b * b) AS s, sum({t} * a) AS u, sum({t} * b) AS v, count(*) AS n FROM ratings JOIN y ON item = y.id GROUP BY 1'
+
+
+@query(f"WITH {RATINGS}, {_ITEM_F}, m AS ({_SUMS.format(w='1.0', t='rating')}) " + _solved("SELECT id, p + 0.065 * n AS p, q, s + 0.065 * n AS s, u, v FROM m"))
+def als_half_step_explicit(spark, d):
+    return _two(als.half_step(ratings(spark, d), _item_factors(spark, d), "user", "item", 2, 0.065))
+
+
+_IMPLICIT = f"WITH {RATINGS}, {_ITEM_F}, g AS (SELECT sum(a * a) AS gp, sum(a * b) AS gq, sum(b * b) AS gs FROM y), m AS ({_SUMS.format(w='1.5 * rating', t='(1 + 1.5 * rating)')}) " + _solved("SELECT id, p + gp + 0.1 AS p, q + gq AS q, s + gs + 0.1 AS s, u, v FROM m, g")
+
+
+def _implicit_step(strategy):
+    return lambda spark, d: _two(als.half_step(ratings(spark, d), _item_factors(spark, d), "user", "item", 2, 0.1, 1.5, True, strategy))
+
+
+QUERIES["als_half_step_implicit"], ORACLES["als_half_step_implicit"] = _implicit_step("broadcast"), _IMPLICIT
+QUERIES["als_half_step_implicit_join"], ORACLES["als_half_step_implicit_join"] = _implicit_step("join"), _IMPLICIT
+
+_WHOLE_F = """x AS (SELECT c_custkey AS id, c_custkey * 7919 % 101 - 50 AS a, c_custkey * 104729 % 103 - 40 AS b FROM customer),
+    y AS (SELECT p_partkey AS id, p_partkey * 7907 % 97 - 30 AS a, p_partkey * 104711 % 89 - 50 AS b FROM part)"""
+
+
+def _whole_factors(spark, d, name, key, *terms):
+    f = F.array(*[((F.col(key) * a) % m - minus).cast("double") for a, m, minus in terms])
+    return table(spark, d, name).select(F.col(key).alias("id"), f.alias("f"))
+
+
+@query(f"""
+    WITH {RATINGS}, {_WHOLE_F}, n AS (SELECT "user", count(*) AS n FROM ratings GROUP BY 1),
+    top AS (SELECT x.id AS "user", y.id AS item, (x.a * y.a + x.b * y.b)::DOUBLE AS score, row_number() OVER (PARTITION BY x.id ORDER BY x.a * y.a + x.b * y.b DESC, y.id) AS k FROM x, y),
+    l AS (SELECT top."user", item, score, min(score) OVER w AS lo, max(score) OVER w AS hi FROM top LEFT JOIN n ON top."user" = n."user" WHERE k <= 10 + coalesce(n, 0) WINDOW w AS (PARTITION BY top."user")),
+    fresh AS (SELECT "user", item, CASE WHEN lo = hi THEN score ELSE (score - lo) / (hi - lo) * 0.5 + 0.5 END AS score FROM l WHERE ("user", item) NOT IN (SELECT "user", item FROM ratings)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM fresh)
+    SELECT "user", item, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
+def recommend_given_factors(spark, d):
+    users = _whole_factors(spark, d, "customer", "c_custkey", (7919, 101, 50), (104729, 103, 40))
+    items = _whole_factors(spark, d, "part", "p_partkey", (7907, 97, 30), (104711, 89, 50))
+    return rec.recommend(users, items, ratings(spark, d), 10).select("user", "item", r("score"), "rank")
+
+
+@query(f"""
+    WITH {RATINGS}, {_ITEM_F}, g AS (SELECT sum(a * a) AS gp, sum(a * b) AS gq, sum(b * b) AS gs FROM y),
+    m AS (SELECT "user", sum(1.5 * rating * a * a) + max(gp) + 0.1 AS p, sum(1.5 * rating * a * b) + max(gq) AS q, sum(1.5 * rating * b * b) + max(gs) + 0.1 AS s FROM ratings JOIN y ON item = y.id, g GROUP BY 1),
+    recs AS (SELECT "user", max(item) + 1 AS item FROM ratings GROUP BY 1),
+    pts AS (SELECT recs."user", recs.item, t.item AS other, round((o.a * (s * z.a - q * z.b) + o.b * (p * z.b - q * z.a)) / (p * s - q * q), 12) AS points
+        FROM recs JOIN y z ON z.id = recs.item JOIN m ON m."user" = recs."user" JOIN ratings t ON t."user" = recs."user" JOIN y o ON o.id = t.item)
+    SELECT "user", item, CASE WHEN points > 0 THEN other ELSE -1 END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY "user", item ORDER BY points DESC, other) AS k FROM pts) WHERE k = 1""")
+def als_reasons(spark, d):
+    own, items = ratings(spark, d), _item_factors(spark, d)
+    recs = own.groupBy("user").agg((F.max("item") + 1).alias("item"))
+    return why.als_reasons(recs, own, items, als.gram(items, 2), 0.1, 1.5)
+
+
+@query(f"""
+    WITH {_BRAND}, names AS (SELECT value, id FROM dict)
+    SELECT a.id AS item, b.id AS other, n / 1000 AS similarity FROM (
+        SELECT p_brand AS x, 'Brand#' || (5 - p_size % 5) || (1 + p_size % 5) AS z, count(*)::DOUBLE AS n FROM part GROUP BY 1, 2)
+    JOIN names a ON a.value = x JOIN names b ON b.value = z""")
+def association_similarity(spark, d):
+    """Rules by brand names to rules by brand ids."""
+    part = table(spark, d, "part")
+    other = F.concat(F.lit("Brand#"), (5 - F.col("p_size") % 5).cast("string"), (1 + F.col("p_size") % 5).cast("string"))
+    rules = part.groupBy(F.col("p_brand").alias("item"), other.alias("other")).agg((F.count(F.lit(1)) / 1000).alias("similarity"))
+    return why.association_similarity(rules, indexing.dictionary(part, "p_brand"))
+
+
+# ---- text, sorted tables and stores
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/larkspur/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
+def text_scan(spark, d):
+    """A table written as lines and read back as typed columns."""
+    path = _folder(spark, "lines")
+    sinks.write_text(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), path)
+    return read_columns(spark, path, {"l_orderkey": "long", "l_partkey": "long", "l_quantity": "double"})
+
+
+@query("SELECT 'orders' AS kind, o_orderkey AS id FROM orders UNION ALL SELECT 'parts', p_partkey FROM part")
+def text_union_scan(spark, d):
+    """Several paths of lines, told apart by a tag."""
+    paths = [_folder(spark, "lines") for _ in range(2)]
+    sinks.write_text(table(spark, d, "orders").select("o_orderkey"), paths[0])
+    sinks.write_text(table(spark, d, "part").select("p_partkey"), paths[1])
+    return read_lines(spark, *paths, tag="t").select(F.when(F.col("t") == 0, "orders").otherwise("parts").alias("kind"), F.col("value").cast("long").alias("id"))
+
+
+@query("SELECT c_custkey::VARCHAR AS key, c_mktsegment || ',' || c_nationkey AS value FROM customer")
+def side_table_load(spark, d):
+    path = _folder(spark, "lines")
+    sinks.write_text(table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_mktsegment"), path)
+    return side_table(spark, path, [1], [2, 0])
+
+
+@query(f"WITH {_GOOD} SELECT o_orderkey::VARCHAR AS c0, c_mktsegment AS c1, o_orderstatus AS c2, coalesce(n_name, 'null') AS v1_1 FROM orders JOIN good ON o_custkey = c_custkey LEFT JOIN nation ON o_orderkey % 40 = n_nationkey")
+def targets_from_text(spark, d):
+    """Both targets of a lookup written as lines and named in one line of options."""
+    a, b, source = (_folder(spark, "lines") for _ in range(3))
+    sinks.write_text(table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment"), a)
+    sinks.write_text(table(spark, d, "nation").select("n_nationkey", "n_name"), b)
+    sinks.write_text(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderkey") % 40), source)
+    first, second = targets(spark, f"{a}:1:0:1:sub::{b}::0:1:outer")
+    out = lookup_join(read_places(spark, source, 4), ["c1"], [first])
+    return lookup_join(out, ["c3"], [second]).drop("c3")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 2, 3, 64, 100, 5000, -7)")
+def sorted_lookup(spark, d):
+    path = _folder(spark, "sorted")
+    sinks.write_sorted(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", path)
+    return sinks.lookup(spark, path, "o_orderkey", [1, 2, 3, 64, 100, 5000, -7])
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def folders_by_value(spark, d):
+    path = _folder(spark, "values")
+    sinks.write_by_value(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", path)
+    return spark.read.parquet(path).select("o_orderkey", F.col("o_orderstatus").cast("string").alias("o_orderstatus"))
+
+
+@query("SELECT n_nationkey AS \"row\", n_regionkey AS col, 1.0 + n_nationkey AS value FROM nation")
+def dense_matrix(spark, d):
+    """A small matrix to the driver and back."""
+    own = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), F.col("n_regionkey").cast("long").alias("col"), (F.lit(1.0) + F.col("n_nationkey")).alias("value"))
+    return matrix.from_dense(spark, matrix.dense(own, 25, 5)).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value")
 
 
 _SIMILAR = 5

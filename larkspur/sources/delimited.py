@@ -50,10 +50,11 @@ def fetch_fields(fields: Column, columns: list[int]) -> Column:
 
 
 def side_table(spark: SparkSession, path: str, key: list[int], value: list[int], prefs: bool = False) -> DataFrame:
-    """(key, value) of a lookup file, one row per key: of several the greatest value."""
+    """(key, value) of a lookup file, one row per key: of several the last one, by file and place in it."""
     parts = (pref_fields if prefs else comma_fields)(F.col("value"))
-    rows = spark.read.text(path).select(parts.alias("p")).select(fetch_fields(F.col("p"), key).alias("key"), fetch_fields(F.col("p"), value).alias("value"))
-    return rows.groupBy("key").agg(F.max("value").alias("value"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.text(path).select(parts.alias("p"), place.alias("at")).select(fetch_fields(F.col("p"), key).alias("key"), fetch_fields(F.col("p"), value).alias("value"), "at")
+    return rows.groupBy("key").agg(F.max_by("value", "at").alias("value"))
 
 
 def as_lines(df: DataFrame) -> DataFrame:

@@ -215,3 +215,32 @@ def test_broadcast_only_if_small(spark, sf):
     df = spark.read.parquet(f"{sf}/customer.parquet")
     hinted = lambda most: "broadcast" in broadcast_if_small(df, most)._jdf.queryExecution().logical().toString().lower()
     assert hinted(1 << 30) and not hinted(10)
+
+
+def test_patterns_of_all_sizes(spark):
+    """Against counting every subset of every basket."""
+    import itertools
+    import random
+    from collections import Counter
+
+    from larkspur.operators import patterns
+
+    rnd = random.Random(3)
+    baskets = [sorted(rnd.sample("abcdefg", rnd.randint(0, 6))) for _ in range(60)]
+    got = {}
+    for r in patterns.top_patterns(spark.createDataFrame([(b,) for b in baskets], "items array<string>"), 4, 9).collect():
+        got.setdefault(r["item"], {})[r["rank"]] = (r["n"], tuple(r["pattern"]))
+    n = Counter(c for b in baskets for k in range(1, 7) for c in itertools.combinations(b, k))
+    for x in "abcdefg":
+        want = sorted(((-m, -len(c), ",".join(c), c) for c, m in n.items() if m >= 4 and x in c))[:9]
+        assert [got[x][k] for k in sorted(got[x])] == [(-m, c) for m, _, _, c in want] and any(len(c) > 2 for *_, c in want)
+
+
+def test_uniform_numbers(spark):
+    from larkspur.operators.splits import uniform
+
+    u = [r[0] for r in spark.range(20_000).select(uniform("id", kind="arithmetic")).collect()]
+    assert all(0 <= x < 1 for x in u) and len(set(u)) > 19_900
+    counts = [sum(k / 10 <= x < (k + 1) / 10 for x in u) for k in range(10)]
+    assert min(counts) > 1800 and max(counts) < 2200
+    assert abs(sum((x - 0.5) * (y - 0.5) for x, y in zip(u, u[1:])) / len(u)) < 0.002

@@ -93,3 +93,59 @@ def test_association_similarity(spark):
     rules = spark.createDataFrame([("a", "b", 0.5), ("a", "q", 0.1)], "item string, other string, similarity double")
     names = spark.createDataFrame([(0, "a"), (1, "b")], "id long, value string")
     assert [tuple(r) for r in reasons.association_similarity(rules, names).collect()] == [(0, 1, 0.5)]
+
+
+@pytest.mark.parametrize("implicit", [False, True])
+def test_hot_rows_in_several_tasks(rated, monkeypatch, implicit):
+    """Rows dealt to several tasks give the same factors as whole ones; also with more features than ratings of a row."""
+    rng = np.random.default_rng(4)
+    y = rng.random((4, 6))
+    items = rated.sparkSession.createDataFrame([(i, y[i].tolist()) for i in range(4)], "id long, f array<double>")
+    step = lambda strategy: {r["id"]: r["f"] for r in als.half_step(rated, items, "user", "item", 6, 0.1, 20.0, implicit, strategy).collect()}
+    whole = step("broadcast")
+    monkeypatch.setattr(als, "HOT", 2)
+    for strategy in ("broadcast", "join"):
+        split = step(strategy)
+        assert set(split) == set(whole) == {0, 1, 2, 3} and all(np.allclose(split[u], whole[u]) for u in whole)
+    assert als.dealt(rated, "user", "item")[1]
+
+
+def test_gram(spark):
+    y = np.random.default_rng(5).random((37, 5))
+    f = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(y)], "id long, f array<double>")
+    assert np.allclose(als.gram(f, 5), y.T @ y) and (als.gram(f.where("false"), 5) == 0).all()
+
+
+def test_goes_on_after_the_last_whole_iteration(rated, tmp_path):
+    folder = f"{tmp_path}/als"
+    users, items, _ = als.factorise(rated, 3, 4, 0.065)
+    als.factorise(rated, 3, 2, 0.065, folder=folder)
+    assert als.finished(rated.sparkSession, folder) == [1]
+    (tmp_path / "als" / "iteration-2" / "users").mkdir(parents=True)  # broken off
+    again, _, moved = als.factorise(rated, 3, 4, 0.065, folder=folder, curve=True)
+    assert [m[0] for m in moved] == [2, 3] and als.finished(rated.sparkSession, folder) == [3]
+    want = {r["id"]: r["f"] for r in users.collect()}
+    assert all(np.allclose(r["f"], want[r["id"]]) for r in again.collect())
+
+
+def test_selection_against_a_full_sort():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        s = rng.integers(0, 6, (150, 40)).astype(float)  # many ties
+        take = rng.integers(0, 60, 150)
+        r, c = recommend._best(s, take)
+        for i in range(150):
+            assert c[r == i].tolist() == np.argsort(-s[i], kind="stable")[: take[i]].tolist()
+
+
+def test_scores_with_ties_in_many_blocks_and_bundles(spark):
+    rng = np.random.default_rng(7)
+    u, v = rng.integers(-3, 4, (30, 2)).astype(float), rng.integers(-3, 4, (50, 2)).astype(float)
+    side = lambda m: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, f array<double>")
+    extra = spark.createDataFrame([(i, i % 5) for i in range(0, 30, 2)], "user long, n long")
+    got = {}
+    for r in recommend.score_topk(side(u), side(v), 3, extra, block=7, group=4).collect():
+        got.setdefault(r["user"], {})[r["rank"]] = r["item"]
+    for i, s in enumerate(u @ v.T):
+        n = 3 + (i % 5 if i % 2 == 0 else 0)
+        assert [got[i][k] for k in range(1, n + 1)] == np.argsort(-s, kind="stable")[:n].tolist() and len(got[i]) == n

@@ -40,6 +40,10 @@ def test_by_value_and_store(spark, tmp_path):
     sinks.write_by_value(cells, "row", f"{tmp_path}/v")
     assert spark.read.parquet(f"{tmp_path}/v/row=1").count() == 2
     sinks.write_rows(cells, partial(sinks.FileStore, f"{tmp_path}/kv"))
+    asked = spark.createDataFrame([(1,), (2,), (9,)], "k long")
+    got = sinks.fetch_rows(asked, "k", partial(sinks.FileStore, f"{tmp_path}/kv"), ["vector:0", "vector:3"], go=2)
+    assert sorted(map(tuple, got.collect())) == [(1, "2.0", "4.0"), (2, None, None), (9, None, None)]
+    assert sinks.fetch_rows(asked.where("false"), "k", partial(sinks.FileStore, f"{tmp_path}/kv"), ["x"]).collect() == []
     lines = sorted(x for f in (tmp_path / "kv").iterdir() for x in f.read_text().splitlines())
     assert lines == ["1\tvector:0\t2.0", "1\tvector:3\t4.0", "2\tvector:1\t1.0"]
 
@@ -68,3 +72,43 @@ def test_targets_from_text(spark, tmp_path):
 def test_random_cells(spark):
     a, b = (matrix.random_cells(spark, 10, 10).collect() for _ in range(2))
     assert sorted(a) == sorted(b) and len(a) == 100 and all(0 <= r["value"] < 1 for r in a)
+
+
+def test_files(spark, tmp_path):
+    import pytest
+
+    sinks.write_string(spark, f"{tmp_path}/stats", "n 3\nmean 0.5")
+    sinks.write_string(spark, f"{tmp_path}/stats", "n 4")
+    assert sinks.read_string(spark, f"{tmp_path}/stats") == "n 4"
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/t")
+    sinks.move(spark, f"{tmp_path}/t", f"{tmp_path}/u")
+    assert spark.read.parquet(f"{tmp_path}/u").count() == 10 and not (tmp_path / "t").exists()
+    with pytest.raises(OSError):
+        sinks.move(spark, f"{tmp_path}/t", f"{tmp_path}/v")
+    sinks.compact_sorted(spark, f"{tmp_path}/u", "id", f"{tmp_path}/w", 2)
+    assert not (tmp_path / "u").exists() and sorted(r["id"] for r in sinks.lookup(spark, f"{tmp_path}/w", "id", [3, 4, 99]).collect()) == [3, 4]
+    assert sinks.delete_parts(spark, f"{tmp_path}/w") == 2 and (tmp_path / "w" / "_SUCCESS").exists()
+    assert sinks.delete_parts(spark, f"{tmp_path}/nowhere") == 0
+
+
+def test_side_table_takes_the_last_row(spark, tmp_path):
+    (tmp_path / "s").write_text("a,9,x\nb,1,y\na,1,z\n")
+    assert {tuple(r) for r in delimited.side_table(spark, f"{tmp_path}/s", [0], [1, 2]).collect()} == {("a", "1,z"), ("b", "1,y")}
+
+
+def test_written_tables_go(spark):
+    import os
+
+    from larkspur.session import drop_all, scratch, shared_folder, written
+
+    there = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+    with scratch(spark):
+        a, b = written(spark.range(3)), written(spark.range(4), keep=True)
+        with scratch(spark):
+            c = written(spark.range(5), keep=True)
+            d = written(spark.range(6))
+        assert there(a) and there(c) and not os.path.exists(os.path.dirname(d.inputFiles()[0]).removeprefix("file://")) if d.inputFiles() else True
+        files = [x.inputFiles()[0].removeprefix("file://") for x in (a, b, c)]
+    assert [os.path.exists(f) for f in files] == [False, True, False]
+    drop_all(spark)
+    assert not os.path.exists(files[1]) and not os.path.exists(f"{shared_folder(spark).removeprefix('file://')}/larkspur/{spark.sparkContext.applicationId}")
