@@ -1,12 +1,18 @@
-"""Best-fit packing of token sequences, bulk-synchronous over classes of equal length.
+"""Best-fit packing of token sequences, by bulk-synchronous supersteps.
 
 Documents are tokenised once, in a pass that also cuts the longer ones and ranks each piece among those of its length:
-first within the task, then, by a window over the tasks' counts, over all data. Documents and gaps are range-sorted by
-length and held as runs of equal length, so a class is one run however many rows it has. A superstep sweeps a class
-over the gaps at or above its length, smallest gap first; documents that want the same gap are told apart by rank, the
-filled gaps move to their new length, and the next superstep starts from there. All rows of a class take part in the
-same superstep; each row then finds its own sequence by its rank, in a map without a shuffle. The runs number a few
-thousand at any size of the input, as lengths are bounded by the sequence length.
+first within the task, then, by a window over the tasks' counts, over all data. Documents and gaps are held in one table
+as runs: pieces of one length with ranks in a row, gaps of one size in sequences with numbers in a row. A class of equal
+pieces is one run however many there are, so the table has a few thousand rows at any size of the input.
+
+A superstep deals the table by ranges of size and sorts each range. The task of a range sweeps it upwards: documents
+wait, and a gap takes the longest that waits, its best fit. Where several runs want the same gaps, ranks decide: the
+longest, then the last in rank, go in, and the others go on waiting. What finds nothing inside its range is carried over
+the ranges' boundaries in a second sweep, which the first ones have left few runs for; sweeping parts and then what
+they leave gives the same as one sweep. Then filled gaps get their new sizes, all is written to the shared folder, and the
+next superstep starts from there. As many sequences are opened at the start as the tokens need at least; supersteps take
+the documents in bands of falling length (BAND), and open more when a band's documents find no gap. At last each piece
+finds its sequence by its length and rank, in a map without a shuffle.
 
 Defined results: null and empty texts are the one id 0; repeated rows are packed once each; an empty table gives an
 empty table; other columns of the input are not read. Strings of special tokens in a text are ordinary text.
@@ -15,19 +21,19 @@ empty table; other columns of the input are not read. Strings of special tokens
 from __future__ import annotations
 
 import base64
-import bisect
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import by_batch, id_text, table, written
+from larkspur.llm.common import by_batch, id_text, scratch, table, written
 
-SEQUENCE = 2048
+SEQUENCE, BAND, RANGES = 2048, 1.5, 8
 _RANK_BITS = 44
 
 
@@ -117,39 +123,97 @@ def tokenised(docs: DataFrame, most: int = SEQUENCE, path: str | None = None) ->
     return by_batch(id_text(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long", setup)
 
 
-def sweep(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int, int]]:
-    """counts: documents by length. Returns runs (length, first rank, documents, first sequence, offset)."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []  # the gaps there are, ascending
-    opened, out = 0, []
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(order, length)
-            if at == len(order):
-                new = -(-left // (most // length))
-                add(most, opened, new)
-                opened += new
-                continue
-            gap = order[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], order[at]
-            taken = min(n, left)
-            if taken < n:
-                add(gap, first + taken, n - taken)
-            out.append((length, rank, taken, first, most - gap))
-            add(gap - length, first, taken)
-            rank, left = rank + taken, left - taken
-    return out
+#: kind: 0 documents (size: length, first: rank), 1 gaps (first: sequence), 2 placed documents (with sequence and offset).
+_RUNS = "kind int, size long, first long, n long, sequence long, offset long"
+
+
+def sweep(runs: list[tuple[int, int, int, int]], most: int) -> list[tuple[int, int, int, int, int, int]]:
+    """One sweep upwards over runs (kind, size, first, n): rows of _RUNS, placed ones first, then gaps and documents that found nothing."""
+    placed, gaps, waiting = [], [], []
+    for kind, size, first, n in sorted(runs, key=lambda r: (r[1], r[0], r[2])):
+        if kind == 0:
+            waiting.append([size, first, n])
+            continue
+        while n and waiting:
+            length, rank, there = waiting[-1]
+            taken = min(n, there)
+            placed.append((2, length, rank + there - taken, taken, first, most - size))
+            first, n = first + taken, n - taken
+            if taken == there:
+                waiting.pop()
+            else:
+                waiting[-1][2] = there - taken
+        if n:
+            gaps.append((1, size, first, n, -1, -1))
+    return placed + gaps + [(0, *w, -1, -1) for w in waiting]
+
+
+def _swept(most: int, ranges: int):
+    """A task's runs through sweep(), range by range; placed runs pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, by = [], {}
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if r[0] == 2:
+                    out.append(r)
+                else:
+                    by.setdefault(r[1] * ranges // (most + 1), []).append(r[:4])
+        for own in by.values():
+            out += sweep(own, most)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), *[pa.int64()] * 5))], [x.split()[0] for x in _RUNS.split(", ")])
+
+    return run
+
+
+def superstep(active: DataFrame, most: int) -> DataFrame:
+    """Documents and gaps after a superstep: the placed documents, the gaps in their new sizes, the documents that wait."""
+    by_range = active.repartition(RANGES, F.floor(F.col("size") * RANGES / (most + 1)))
+    local = by_range.mapInArrow(_swept(most, RANGES), _RUNS)
+    carried = local.repartition(1).mapInArrow(_swept(most, 1), _RUNS)  # what the ranges left: fewer runs than there are sizes, whatever the input
+    left = F.when(F.col("kind") == 2, F.lit(most) - F.col("offset") - F.col("size"))
+    filled = F.struct(F.lit(1).alias("kind"), left.alias("size"), F.col("sequence").alias("first"), "n", F.lit(-1).cast("long").alias("sequence"), F.lit(-1).cast("long").alias("offset"))
+    own = F.struct("kind", "size", "first", "n", "sequence", "offset")
+    return carried.select(F.explode(F.when(left > 0, F.array(own, filled)).otherwise(F.array(own))).alias("r")).select("r.*")
+
+
+def supersteps(counts: DataFrame, most: int = SEQUENCE, band: float = BAND) -> list[tuple[int, int, int, int, int]]:
+    """counts: length, n. Returns runs (length, first rank, documents, first sequence, offset), a few thousand at any size of the input."""
+    spark = counts.sparkSession
+    none = F.lit(-1).cast("long")
+    state = counts.select(F.lit(0).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", none.alias("sequence"), none.alias("offset"))
+    total, longest = state.agg(F.sum(F.col("size") * F.col("n")), F.max("size")).first()
+    if total is None:
+        return []
+    opened, new, low = 0, -(-total // most), longest / band
+    steps: list[DataFrame] = []
+    while True:
+        if new:
+            state = state.unionByName(spark.createDataFrame([(1, most, opened, new, -1, -1)], _RUNS))
+            opened += new
+        is_doc, inside = F.col("kind") == 0, (F.col("kind") == 0) & (F.col("size") > low)
+        waits = is_doc & ~inside
+        stepped = superstep(state.where(~waits), most).unionByName(state.where(waits))
+        seen = Observation()
+        watched = stepped.observe(
+            seen, F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0)).alias("placed"), F.max(F.when(is_doc, F.col("size"))).alias("longest"), F.min(F.when(is_doc, F.col("size"))).alias("least"),
+            F.sum(F.when(inside, F.col("size") * F.col("n")).otherwise(0)).alias("tokens"),
+        )
+        steps.append(written(watched.coalesce(1), "packing-step"))
+        found, new = seen.get, 0
+        if found["longest"] is None:
+            break
+        if not found["tokens"]:
+            low = found["longest"] / band
+        elif not found["placed"]:
+            new = -(-found["tokens"] // most)
+        # Gaps that no document fits in any more are left behind.
+        state = steps[-1].where((F.col("kind") == 0) | ((F.col("kind") == 1) & (F.col("size") >= found["least"])))
+    runs = steps[0]
+    for x in steps[1:]:
+        runs = runs.unionByName(x)
+    return [tuple(r) for r in runs.where("kind = 2").select("size", "first", "n", "sequence", "offset").collect()]
 
 
 def placed(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
@@ -157,7 +221,8 @@ def placed(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
     spark = pieces.sparkSession
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     ahead = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("ahead"))
-    runs = sweep({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, most)
+    with scratch(spark):
+        runs = supersteps(written(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "packing-lengths"), most)
     table_of = np.array(sorted(runs), np.int64).reshape(-1, 5)
     held = spark.sparkContext.broadcast((table_of[:, 0] << _RANK_BITS | table_of[:, 1], table_of[:, 1], table_of[:, 3], table_of[:, 4]))
     ranked = pieces.join(ahead, ["part", "length"]).withColumn("rank", F.col("rank") + F.coalesce("ahead", F.lit(0))).drop("ahead", "part")
