@@ -21,6 +21,7 @@ empty table; other columns of the input are not read. Strings of special tokens
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -148,8 +149,8 @@ def sweep(runs: list[tuple[int, int, int, int]], most: int) -> list[tuple[int, i
     return placed + gaps + [(0, *w, -1, -1) for w in waiting]
 
 
-def _swept(most: int, ranges: int):
-    """A task's runs through sweep(), range by range; placed runs pass."""
+def _swept(most: int, bounds: list[int]):
+    """A task's runs through sweep(), range by range (bounds: where ranges start, besides the first); placed runs pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, by = [], {}
@@ -158,7 +159,7 @@ def _swept(most: int, ranges: int):
                 if r[0] == 2:
                     out.append(r)
                 else:
-                    by.setdefault(r[1] * ranges // (most + 1), []).append(r[:4])
+                    by.setdefault(bisect.bisect_right(bounds, r[1]), []).append(r[:4])
         for own in by.values():
             out += sweep(own, most)
         if out:
@@ -167,11 +168,11 @@ def _swept(most: int, ranges: int):
     return run
 
 
-def superstep(active: DataFrame, most: int) -> DataFrame:
+def superstep(active: DataFrame, most: int, bounds: list[int]) -> DataFrame:
     """Documents and gaps after a superstep: the placed documents, the gaps in their new sizes, the documents that wait."""
-    by_range = active.repartition(RANGES, F.floor(F.col("size") * RANGES / (most + 1)))
-    local = by_range.mapInArrow(_swept(most, RANGES), _RUNS)
-    carried = local.repartition(1).mapInArrow(_swept(most, 1), _RUNS)  # what the ranges left: fewer runs than there are sizes, whatever the input
+    own = sum(((F.col("size") >= x).cast("int") for x in bounds), F.lit(0))
+    local = active.repartition(RANGES, own).mapInArrow(_swept(most, bounds), _RUNS)
+    carried = local.repartition(1).mapInArrow(_swept(most, []), _RUNS)  # what the ranges left: fewer runs than there are sizes, whatever the input
     left = F.when(F.col("kind") == 2, F.lit(most) - F.col("offset") - F.col("size"))
     filled = F.struct(F.lit(1).alias("kind"), left.alias("size"), F.col("sequence").alias("first"), "n", F.lit(-1).cast("long").alias("sequence"), F.lit(-1).cast("long").alias("offset"))
     own = F.struct("kind", "size", "first", "n", "sequence", "offset")
@@ -183,7 +184,9 @@ def supersteps(counts: DataFrame, most: int = SEQUENCE, band: float = BAND) -> l
     spark = counts.sparkSession
     none = F.lit(-1).cast("long")
     state = counts.select(F.lit(0).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", none.alias("sequence"), none.alias("offset"))
-    total, longest = state.agg(F.sum(F.col("size") * F.col("n")), F.max("size")).first()
+    # Ranges of as many runs each, by the sizes of the superstep before.
+    shares = [k / RANGES for k in range(1, RANGES)]
+    total, longest, bounds = state.agg(F.sum(F.col("size") * F.col("n")), F.max("size"), F.percentile_approx("size", shares)).first()
     if total is None:
         return []
     opened, new, low = 0, -(-total // most), longest / band
@@ -194,14 +197,16 @@ def supersteps(counts: DataFrame, most: int = SEQUENCE, band: float = BAND) -> l
             opened += new
         is_doc, inside = F.col("kind") == 0, (F.col("kind") == 0) & (F.col("size") > low)
         waits = is_doc & ~inside
-        stepped = superstep(state.where(~waits), most).unionByName(state.where(waits))
+        stepped = superstep(state.where(~waits), most, sorted(set(bounds or ()))).unionByName(state.where(waits))
         seen = Observation()
         watched = stepped.observe(
             seen, F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0)).alias("placed"), F.max(F.when(is_doc, F.col("size"))).alias("longest"), F.min(F.when(is_doc, F.col("size"))).alias("least"),
             F.sum(F.when(inside, F.col("size") * F.col("n")).otherwise(0)).alias("tokens"),
+            F.percentile_approx(F.when((F.col("kind") == 1) | inside, F.col("size")), shares).alias("bounds"),
         )
         steps.append(written(watched.coalesce(1), "packing-step"))
         found, new = seen.get, 0
+        bounds = found["bounds"]
         if found["longest"] is None:
             break
         if not found["tokens"]:
