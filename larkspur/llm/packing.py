@@ -51,7 +51,7 @@ class ByteBpe:
     cut there, and each part's ids do not depend on the others.
     """
 
-    MOST, LONG = 300_000, 48
+    MOST, LONG = 600_000, 48
     _loose, _cut = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
