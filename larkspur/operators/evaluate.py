@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 NOT_RELEVANT = -1.0
 
 
-def ranked_lists(recs: DataFrame, user: str = "user", item: str = "item", score: str = "score", flag: str = "flag") -> DataFrame:
-    """recs with rank (from 1), n (length of the user's list), hit (flag over -1) and hits so far."""
-    w = Window.partitionBy(user)
-    by = w.orderBy(F.desc(score), F.asc(item))
-    hit = (F.col(flag) > NOT_RELEVANT).cast("int")
-    return recs.withColumns({"rank": F.row_number().over(by), "n": F.count(F.lit(1)).over(w), "hit": hit}).withColumn("so_far", F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+def ranked_lists(recs: DataFrame, k: int, user: str = "user", item: str = "item", score: str = "score", flag: str = "flag") -> DataFrame:
+    """The first k of each user's recs with rank (from 1), n (length of the user's whole list), hit (flag over -1) and hits so far.
+
+    Lists are cut to k before the shuffle and their lengths counted by task, so a very long list need not meet in one task.
+    """
+    by = Window.partitionBy(user).orderBy(F.desc(score), F.asc(item))
+    first = recs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    lengths = recs.groupBy(F.col(user).alias("_user")).agg(F.count(F.lit(1)).alias("n"))
+    hits = first.withColumn("hit", (F.col(flag) > NOT_RELEVANT).cast("int"))
+    hits = hits.withColumn("so_far", F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return hits.join(lengths, F.col(user).eqNullSafe(F.col("_user"))).drop("_user")
 
 
 def precision(k: int) -> Column:
@@ -46,13 +51,13 @@ def recall_curve(k: int) -> list[Column]:
     ]
 
 
-#: Further measures by name: a function of k that gives an aggregate over ranked_lists.
+#: Further measures by name: a function of k that gives an aggregate over ranked_lists, which holds a list's first k.
 MEASURES: dict[str, Callable[[int], Column]] = {"precision": precision, "map": average_precision, "epr": percentile_rank}
 
 
 def evaluate(recs: DataFrame, k: int, user: str = "user", **names: str) -> DataFrame:
     """recs: user, item, score, item_count, flag. Each user's item_count, hits in the first k, measures and recall curve."""
-    lists = ranked_lists(recs.where(F.col("item_count").isNotNull()), user, **names)
+    lists = ranked_lists(recs.where(F.col("item_count").isNotNull()), k, user, **names)
     hits = F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias("hits")
     return lists.groupBy(user).agg(F.first("item_count").alias("item_count"), hits, *[f(k).alias(n) for n, f in MEASURES.items()], *recall_curve(k))
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.joins import Target, lookup_join
 from larkspur.session import written
 
 
-def sequential_ids(df: DataFrame, order: list[str], start: int = 0, id: str = "id") -> DataFrame:
+def sequential_ids(df: DataFrame, order: list[str | Column], start: int = 0, id: str = "id") -> DataFrame:
     """df with ids from start on without gaps, in the order of the columns given.
 
     Rows are range-sorted; each range is numbered by itself and moved by the counts of those before, so no task sees all.

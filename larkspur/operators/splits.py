@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.indexing import sequential_ids
+
 
 PRIME = 2147483647  # 2 ** 31 - 1
 
@@ -33,12 +35,17 @@ def random_split(df: DataFrame, train: float = 0.9, probe: float = 0.1, seed: in
 
 
 def kfold(df: DataFrame, user: str, k: int = 4, order: Column | list[Column] | None = None, seed: int = 11) -> DataFrame:
-    """df with fold: each user's rows, shuffled by a hash (or in the order given), in k windows of equal width; the last may be short or empty."""
+    """df with fold: each user's rows, shuffled by a hash (or in the order given), in k windows of equal width; the last may be short or empty.
+
+    Rows are range-sorted by user and order, so a user with very many rows is shared out among tasks. Rows without a user
+    count as one user's.
+    """
     by = order if order is not None else uniform(*df.columns, seed=seed)
-    own = Window.partitionBy(user)
-    width = F.ceil(F.count(F.lit(1)).over(own) / k)
-    place = F.row_number().over(own.orderBy(*(by if isinstance(by, list) else [by])))
-    return df.withColumn("fold", F.floor((place - 1) / width).cast("int"))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    placed = sequential_ids(df, [F.col(user), *(by if isinstance(by, list) else [by]), F.xxhash64(*hashed)], id="_place")
+    own = placed.groupBy(F.col(user).alias("_user")).agg(F.min("_place").alias("_first"), F.ceil(F.count(F.lit(1)) / k).alias("_width"))
+    folded = placed.join(own, F.col(user).eqNullSafe(F.col("_user")))
+    return folded.select(*df.columns, F.floor((F.col("_place") - F.col("_first")) / F.col("_width")).cast("int").alias("fold"))
 
 
 def fold(folded: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:

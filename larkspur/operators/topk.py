@@ -28,8 +28,12 @@ def wide_text(wide: DataFrame, row: str, col: str, value: str) -> DataFrame:
 
 
 def minmax_scores(cells: DataFrame, most: float | None = None, row: str = "row", value: str = "value") -> DataFrame:
-    """Each row's values brought to 0.5 to 1 between its lowest and highest (unchanged if they are equal), then at most `most`."""
-    w = Window.partitionBy(row)
-    low, high = F.min(value).over(w), F.max(value).over(w)
+    """Each row's values brought to 0.5 to 1 between its lowest and highest (unchanged if they are equal), then at most `most`.
+
+    Bounds are summed up by task and joined, so a row of very many cells need not meet in one task.
+    """
+    bounds = cells.groupBy(F.col(row).alias("_row")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
     scaled = F.when(high == low, F.col(value)).otherwise((F.col(value) - low) / (high - low) * 0.5 + 0.5)
-    return cells.withColumn(value, scaled if most is None else F.least(scaled, F.lit(float(most))))
+    out = cells.join(bounds, F.col(row).eqNullSafe(F.col("_row")))
+    return out.withColumn(value, scaled if most is None else F.least(scaled, F.lit(float(most)))).select(*cells.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.topk import minmax_scores, ranked
+from larkspur.session import written
 
 BLOCK, GROUP = 4096, 1024
 
@@ -78,7 +79,8 @@ def score_topk(users: DataFrame, items: DataFrame, k: int, extra: DataFrame | No
 def recommend(users: DataFrame, items: DataFrame, rated: DataFrame, k: int = 10, most: float | None = None) -> DataFrame:
     """(user, item, score, rank): top lists long enough for rated items (user, item) to be taken out, scores brought to 0.5 to 1 and clamped."""
     seen = rated.select("user", "item").distinct()
-    scored = minmax_scores(score_topk(users, items, k, seen.groupBy("user").agg(F.count(F.lit(1)).alias("n"))).drop("rank"), most, "user", "score")
+    lists = written(score_topk(users, items, k, seen.groupBy("user").agg(F.count(F.lit(1)).alias("n"))).drop("rank"), "lists")  # read twice
+    scored = minmax_scores(lists, most, "user", "score")
     fresh = scored.join(seen, ["user", "item"], "left_anti")
     by = Window.partitionBy("user").orderBy(F.desc("score"), "item")
     return fresh.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

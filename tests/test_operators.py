@@ -182,6 +182,24 @@ def test_splits(spark):
     assert all(a.count() + b.count() == 200 for a, b in parts) and sum(b.count() for _, b in parts) == 200
 
 
+def test_kfold_of_a_hot_user(spark):
+    made = [(7, i % 50) for i in range(300)] + [(None, i) for i in range(9)] + [(u, 0) for u in range(100, 140)]
+    df = spark.createDataFrame(made, "u int, i int").repartition(8)
+    got = [tuple(r) for r in splits.kfold(df, "u", 4, F.col("i").desc()).collect()]
+    assert sorted((u or -1, i) for u, i, _ in got) == sorted((u or -1, i) for u, i in made)
+    for user in (7, None, 120):
+        own = sorted((f, -i) for u, i, f in got if u == user)
+        width = -(-len(own) // 4)
+        assert [-i for _, i in own] == sorted((i for u, i in made if u == user), reverse=True)
+        assert [f for f, _ in own] == [p // width for p in range(len(own))]
+    assert splits.kfold(df.where("false"), "u").collect() == []
+
+
+def test_minmax_scores_of_rows_without_id(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 4.0), (1, 1, 3.0), (1, 2, None)], "row int, col int, value double")
+    assert rows(topk.minmax_scores(df)) == sorted([(None, 1, 0.5), (None, 2, 1.0), (1, 1, 3.0), (1, 2, None)], key=repr)
+
+
 def test_evaluate(spark):
     recs = spark.createDataFrame([(1, i, 10.0 - i, 4, 3.0 if i in (1, 3) else -1.0) for i in range(1, 6)], "user int, item int, score double, item_count int, flag double")
     got = evaluate.evaluate(recs, 4).first()
@@ -190,6 +208,8 @@ def test_evaluate(spark):
     assert abs(got["epr"] - sum(w * p for w, p in zip(weights, percents)) / 4) < 1e-9
     assert [got[f"recall_{i}"] for i in range(1, 5)] == [0.25, 0.25, 0.5, 0.5]
     assert evaluate.stats(evaluate.evaluate(recs, 4)).first()["n_users"] == 1
+    lists = evaluate.ranked_lists(recs, 3).collect()
+    assert sorted((r["rank"], r["n"], r["so_far"]) for r in lists) == [(1, 5, 1), (2, 5, 1), (3, 5, 2)]
 
 
 def test_minhash(spark):
