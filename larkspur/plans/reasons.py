@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,28 +36,35 @@ def association_similarity(rules: DataFrame, dictionary: DataFrame) -> DataFrame
     return encode(rules, {"item": dictionary, "other": dictionary})
 
 
-def als_reasons(recs: DataFrame, rated: DataFrame, factors: DataFrame, gram: np.ndarray, reg: float, alpha: float = 40.0) -> DataFrame:
+def als_reasons(recs: DataFrame, rated: DataFrame, factors: DataFrame, gram: np.ndarray, reg: float, alpha: float = 40.0, places: int = 12) -> DataFrame:
     """(user, item, reason): the rated item i with the highest y_i' W^-1 y_j, W = Y'Y + Y'(C - I)Y + reg I of the user; -1 without one over zero.
 
-    rated: user, item, rating. A user's rated items and recommendations are gathered as arrays: as many as the user has.
+    Values are compared as rounded to `places` decimals, so that neither noise nor the order of summation decides; of equal
+    ones the lowest id wins. rated: user, item, rating. A user's rated items and recommendations are gathered as arrays: as
+    many as the user has.
     """
     side = factors.select(F.col("id").alias("item"), "f")
-    own = rated.join(side, "item").groupBy("user").agg(F.collect_list(F.struct("item", "rating", "f")).alias("own"))
+    own = rated.join(side, "item").groupBy("user").agg(F.collect_list(F.struct("item", F.col("rating").cast("double").alias("rating"), "f")).alias("own"))
     asked = recs.select("user", "item").join(side, "item").groupBy("user").agg(F.collect_list(F.struct("item", "f")).alias("asked"))
+    k = gram.shape[0]
+
+    def columns(of: pa.ListArray) -> tuple[np.ndarray, pa.StructArray, np.ndarray, np.ndarray]:
+        held = of.flatten()
+        ends = np.concatenate([[0], np.cumsum(of.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return ends, held, held.field("item").to_numpy(zero_copy_only=False), held.field("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (at, held, ids, y), (asked_at, _, items, x) = columns(b.column("own")), columns(b.column("asked"))
+            c = alpha * held.field("rating").to_numpy(zero_copy_only=False)
+            reason = np.empty(len(items), np.int64)
+            for lo, hi, first, last in zip(at, at[1:], asked_at, asked_at[1:]):
+                order = lo + np.argsort(ids[lo:hi])
+                z = y[order]
+                w = gram + (z * c[order, None]).T @ z + reg * np.eye(k)
+                s = np.round(z @ np.linalg.solve(w, x[first:last].T), places)
+                reason[first:last] = np.where(s.max(axis=0) > 0, ids[order][s.argmax(axis=0)], -1)
+            users = np.repeat(b.column("user").to_numpy(zero_copy_only=False), np.diff(asked_at))
+            yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(items, pa.int64()), pa.array(reason)], ["user", "item", "reason"])
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                y = np.array([x["f"] for x in r.own])
-                c = alpha * np.array([x["rating"] for x in r.own])
-                w = gram + (y * c[:, None]).T @ y + reg * np.eye(gram.shape[0])
-                s = y @ np.linalg.solve(w, np.array([x["f"] for x in r.asked]).T)
-                ids = np.array([x["item"] for x in r.own])
-                order = np.argsort(ids)
-                top = s[order].argmax(axis=0)
-                out.append(pd.DataFrame({"user": r.user, "item": [x["item"] for x in r.asked], "reason": np.where(s[order].max(axis=0) > 0, ids[order][top], -1)}))
-            if out:
-                yield pd.concat(out)
-
-    return own.join(asked, "user").mapInPandas(run, "user long, item long, reason long")
+    return own.join(asked, "user").select("user", "own", "asked").mapInArrow(run, "user long, item long, reason long")

@@ -89,6 +89,15 @@ def test_als_reasons(spark, rated):
     assert got["reason"] == (int(s.argmax()) if s.max() > 0 else -1)
 
 
+def test_als_reasons_compares_rounded_values(spark):
+    """Against a large Y'Y values lie close together: of those that are equal at 12 decimals the lowest id wins, and zero at 12 decimals is no reason."""
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1 + 1e-7, 0.0]), (3, [1e-7, 0.0]), (9, [1.0, 0.0])], "id long, f array<double>")
+    own = spark.createDataFrame([(0, 2, 1.0), (0, 1, 1.0), (5, 3, 1.0)], "user long, item long, rating double")
+    recs = spark.createDataFrame([(0, 9), (5, 9)], "user long, item long")
+    got = reasons.als_reasons(recs, own, items, 2e6 * np.eye(2), 0.1, 1.5)
+    assert {r["user"]: r["reason"] for r in got.collect()} == {0: 1, 5: -1}
+
+
 def test_association_similarity(spark):
     rules = spark.createDataFrame([("a", "b", 0.5), ("a", "q", 0.1)], "item string, other string, similarity double")
     names = spark.createDataFrame([(0, "a"), (1, "b")], "id long, value string")
