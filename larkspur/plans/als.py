@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import broadcast_if_small, drop_written, written
 
-BROADCAST_BYTES, HOT, GO = 64 << 20, 200_000, 256
+BROADCAST_BYTES, HOT, GO = 128 << 20, 200_000, 256
 
 
 def _factor_rows(column: pa.Array, k: int) -> np.ndarray:
