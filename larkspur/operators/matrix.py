@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.vectors import DISTANCES
 from larkspur.operators.topk import topk_rows
+from larkspur.session import written
+
+BLOCK_CELLS, AT_ONCE = 3_000_000, 4_000_000  # cells of a block of columns, pairs that a task adds up at once
+NONE = -(1 << 63)  # stands for a null column
 
 
 def from_table(df: DataFrame, row: str, col: str, value: str | None = None, row_type: str = "long") -> DataFrame:
@@ -73,8 +80,128 @@ def l2_normalise(cells: DataFrame, reverse: bool = False) -> DataFrame:
     return transpose(out) if reverse else out
 
 
+def _parts(cells: DataFrame, shared: str, own: str, n: int) -> DataFrame:
+    """Cells packed by block of `own` (k, data): columns sorted by own and shared, as bytes of equal place, compressed."""
+    dealt = cells.select(F.coalesce(F.col(own).cast("long"), F.lit(NONE)).alias("o"), F.col(shared).cast("long").alias("s"), F.col("value").alias("v")).where("s IS NOT NULL AND v IS NOT NULL")
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("o"), F.lit(n)).cast("int")).repartition(n, "k").sortWithinPartitions("k", "o", "s")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "o", "s", "v"))
+            cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
+            for lo, hi in zip(cut, cut[1:]):
+                if lo < hi:
+                    planes = b"".join(np.ascontiguousarray(c[lo:hi]).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+                    yield pa.RecordBatch.from_arrays([pa.array([k[lo]], pa.int32()), pa.array([hi - lo], pa.int32()), pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary())], ["k", "n", "data"])
+
+    return dealt.mapInArrow(pack, "k int, n int, data binary")
+
+
+def _unpacked(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, shared, value)"""
+    each = [np.frombuffer(pa.decompress(data, 24 * n, "zstd", asbytes=True), np.uint8).reshape(3, 8, n) for n, data in parts]
+    planes = [np.ascontiguousarray(np.concatenate([x[i] for x in each], axis=1).T) for i in range(3)]
+    return tuple(x.view(kind).ravel() for x, kind in zip(planes, (np.int64, np.int64, np.float64)))
+
+
+def _tile(left, right) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, col, value) of the product of two blocks (own, shared, value), at most about AT_ONCE pairs at a time."""
+    (lo, ls, lv), (ro, rs, rv) = left, right
+    by = np.argsort(lo, kind="stable")
+    lo, ls, lv = lo[by], ls[by], lv[by]
+    by = np.argsort(rs, kind="stable")
+    rs, rv = rs[by], rv[by]
+    cols, code = np.unique(ro[by], return_inverse=True)
+    first, last = np.searchsorted(rs, ls), np.searchsorted(rs, ls, "right")
+
+    def pairs(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        many = last[a:b] - first[a:b]
+        at = np.repeat(np.arange(a, b), many)
+        other = np.arange(len(at)) + np.repeat(first[a:b] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        return at, code[other], lv[at] * rv[other]
+
+    before = np.concatenate([[0], np.cumsum(last - first)])
+    starts = np.flatnonzero(np.concatenate([[True], lo[1:] != lo[:-1]])) if len(lo) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(lo))
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(before[ends], before[a] + AT_ONCE, "right")))
+        b, i = ends[j - 1], j
+        if before[b] - before[a] > AT_ONCE:  # one row of the result alone
+            total, there = np.zeros(len(cols)), np.zeros(len(cols), bool)
+            while a < b:
+                c = max(a + 1, int(np.searchsorted(before, before[a] + AT_ONCE, "right")) - 1)
+                c = min(c, b)
+                _, other, v = pairs(a, c)
+                total += np.bincount(other, v, len(cols))
+                there[other] = True
+                a = c
+            here = np.flatnonzero(there)
+            yield np.full(len(here), lo[b - 1]), cols[here], total[here]
+            continue
+        at, other, v = pairs(a, b)
+        if len(at):
+            key = (np.searchsorted(starts, at, "right") - 1) * len(cols) + other
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            row, col = np.divmod(key[new], len(cols))
+            yield lo[starts[row]], cols[col], np.add.reduceat(v[order], new)
+
+
+def _by_blocks(a: DataFrame, b: DataFrame, threshold: float | None) -> DataFrame:
+    spark, same = a.sparkSession, a is b
+    n = a.count() if same else max(a.count(), b.count())
+    blocks = max(-(-n // BLOCK_CELLS), min(12, int(spark.conf.get("spark.sql.shuffle.partitions")))) | 1  # odd: each pair of blocks once
+    left = written(_parts(a, "row", "col", blocks), "atb")
+    right = left if same else written(_parts(b, "row", "col", blocks), "atb")
+    steps = F.sequence(F.lit(0), F.lit(blocks // 2 if same else blocks - 1))
+    one = left.select(F.col("k").alias("t"), F.lit(-1).alias("step"), "n", "data")
+    other = right.select("k", F.explode(steps).alias("step"), "n", "data").select(F.pmod(F.col("k") - F.col("step"), F.lit(blocks)).alias("t"), "step", "n", "data")
+    rows = one.unionByName(other).repartitionByRange(blocks, "t").sortWithinPartitions("t", "step")
+
+    def out(row: np.ndarray, col: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        keep = value != 0 if threshold is None else ~(value < threshold)  # NaN counts as the greatest, as in Spark
+        ids = [pa.array(x[keep], pa.int64(), mask=x[keep] == NONE) for x in (row, col)]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(value[keep])], ["row", "col", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, mine = None, [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal mine
+            if at is None:
+                return
+            if at[1] < 0:
+                mine = (at[0], _unpacked(held))
+            elif mine and mine[0] == at[0]:
+                for row, col, value in _tile(mine[1], _unpacked(held)):
+                    yield out(row, col, value)
+                    if same and at[1]:
+                        yield out(col, row, value)
+
+        for batch in batches:
+            for t, step, n, data in zip(*(batch.column(c).to_pylist() if c != "data" else batch.column(c) for c in ("t", "step", "n", "data"))):
+                if (t, step) != at:
+                    yield from close()
+                    at, held = (t, step), []
+                held.append((n, data.as_py()))
+        yield from close()
+
+    return rows.mapInArrow(run, "row long, col long, value double")
+
+
 def atb(a: DataFrame, b: DataFrame, threshold: float | None = None) -> DataFrame:
-    """A transposed times B; cells under the threshold go after all is summed."""
+    """A transposed times B; cells under the threshold go after all is summed.
+
+    Whole numbers as ids and doubles as values are multiplied by blocks of columns: a task adds up its block of A's columns
+    times one block of B's after another, so that no pair of a row's cells is a row of a shuffle. B goes to each of the
+    blocks (half of it if A is B), packed; a task holds one block of either. Other types are joined and grouped.
+    """
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if all(m.schema["value"].dataType.simpleString() == "double" and m.schema["col"].dataType.simpleString() == "bigint" and m.schema["row"].dataType.simpleString() in whole for m in (a, b)):
+        return _by_blocks(a, b, threshold)
     out = a.select(F.col("row").alias("_i"), F.col("col").alias("row"), F.col("value").alias("_x")).join(
         b.select(F.col("row").alias("_i"), "col", F.col("value").alias("_y")), "_i"
     )

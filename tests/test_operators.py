@@ -264,3 +264,19 @@ def test_uniform_numbers(spark):
     counts = [sum(k / 10 <= x < (k + 1) / 10 for x in u) for k in range(10)]
     assert min(counts) > 1800 and max(counts) < 2200
     assert abs(sum((x - 0.5) * (y - 0.5) for x, y in zip(u, u[1:])) / len(u)) < 0.002
+
+
+@pytest.mark.parametrize("once", [4_000_000, 7])
+def test_products_by_blocks_of_columns(spark, monkeypatch, once):
+    """Every cell, in pieces too, for one matrix and for two, with hot rows and columns; no pair of cells goes through an exchange."""
+    monkeypatch.setattr(matrix, "AT_ONCE", once)
+    monkeypatch.setattr(matrix, "BLOCK_CELLS", 40)
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(-2, 3, (40, 23)) * (rng.random((40, 23)) < 0.3), rng.integers(-2, 3, (40, 31)) * (rng.random((40, 31)) < 0.3)
+    a[:, 4], a[7] = 1, 2
+    da, db = (matrix.from_dense(spark, x.astype(float)) for x in (a, b))
+    for got, want in ((matrix.gram(da), a.T @ a), (matrix.atb(da, db), a.T @ b)):
+        rows = got.collect()
+        assert {(r["row"], r["col"]): r["value"] for r in rows} == {(int(i), int(j)): want[i, j] for i, j in zip(*np.nonzero(want))} and len(rows) == np.count_nonzero(want)
+        assert "Join" not in got._jdf.queryExecution().toString() and "Aggregate" not in got._jdf.queryExecution().toString()
+    assert {(r["row"], r["col"]) for r in matrix.atb(da, db, 3).collect()} == {(int(i), int(j)) for i, j in np.argwhere(a.T @ b >= 3)}
